@@ -18,28 +18,74 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from heapq import nlargest
+from operator import itemgetter
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import Bpe, _Chunks, loaded
+from millrace.llm.bpe import WHITE, Bpe, _Chunks, loaded
 from millrace.llm.common import public_vocabulary, read_vocabulary, table, text_or_empty
 
-HOT, HOT_BYTES = 1 << 18, 64
-#: Distinct chunks a task keeps while it looks for common ones, and how many of them it reports.
+HOT, HOT_BYTES = 1 << 19, 64
+#: Distinct words a task keeps while it looks for common ones, and how many of them it reports.
 SEEN, REPORTED = 1 << 20, 1 << 17
-
-
-def chunks(codec: Bpe, text: str) -> tuple[Counter, int]:
-    """How often each chunk occurs, and the number of special tokens."""
-    found, special = Counter(), 0
-    for part, i in codec.plain(text):
-        if i is not None:
-            special += 1
-        else:
-            found.update(codec.split(part))
-    return found, special
+_SPACE = frozenset(c for c in map(chr, range(0x3001)) if regex.fullmatch(f"[{WHITE}\x1c-\x1f]", c))
+
+
+def words(codec: Bpe, text: str) -> tuple[list[str], str]:
+    """What blanks part, and what stands before each but the first in a chunk of its own."""
+    return (text.split(), "") if codec.by_words else (text.split(" "), " ")
+
+
+class Known:
+    """For chunks of text, the tokens of their common pre-tokens and a list of the others.
+
+    A chunk is a word with the blank before it; no pre-token reaches over its bounds unless white space
+    other than single blanks lies there.
+    """
+
+    def __init__(self, codec: Bpe, known: dict[str, int]):
+        self.codec, self.known = codec, known
+        self.inner = _Chunks(self.of_word)
+
+    def of(self, pieces: list[str]) -> tuple[int, tuple[str, ...]]:
+        return sum(self.known.get(p, 0) for p in pieces), tuple(p for p in pieces if p not in self.known)
+
+    def of_word(self, word: str):
+        """None if the word can't be taken alone."""
+        if not word or word[0] in _SPACE or word[-1] in _SPACE:
+            return None
+        return self.of(self.codec.pieces(" " + word))
+
+    def frequencies(self, text: str) -> tuple[int, Counter]:
+        """Tokens of specials and common pre-tokens, and how often each other one occurs."""
+        total, rest = 0, Counter()
+        for part, special in self.codec.plain(text) if any(map(text.__contains__, self.codec.special)) else ((text, None),):
+            if special is not None:
+                total += 1
+            else:
+                total += self.count(part, rest)
+        return total, rest
+
+    def count(self, text: str, rest: Counter) -> int:
+        first, *words = text.split(" ")
+        if not self.codec.by_words and not (words and first and first[-1] in _SPACE):
+            found = [(self.inner[w], n) for w, n in Counter(words).items()]
+            if all(f is not None for f, _ in found):
+                found.append((self.of(self.codec.pieces(first) if first else []), 1))
+                return self.add(found, rest)
+        return self.add([(self.of(self.codec.pieces(c)), n) for c, n in Counter(self.codec.split(text)).items()], rest)
+
+    @staticmethod
+    def add(found: list, rest: Counter) -> int:
+        total = 0
+        for (tokens, others), n in found:
+            total += tokens * n
+            for p in others:
+                rest[p] += n
+        return total
 
 
 def common_pre_tokens(docs: DataFrame, codec_data, hot: int) -> dict[str, int]:
@@ -50,17 +96,18 @@ def common_pre_tokens(docs: DataFrame, codec_data, hot: int) -> dict[str, int]:
 
         def report() -> pa.RecordBatch:
             pieces: Counter = Counter()
-            for chunk, n in seen.items():
-                for p in codec.pieces(chunk):
+            for word, n in nlargest(REPORTED, seen.items(), key=itemgetter(1)):
+                for p in codec.pieces(before + word):
                     if len(p.encode()) <= HOT_BYTES:
                         pieces[p] += n
-            best = nlargest(REPORTED, pieces.items(), key=lambda x: x[1])
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["piece", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(pieces.keys(), pa.string()), pa.array(pieces.values(), pa.int64())], ["piece", "n"])
 
+        before = " "
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(chunks(codec, text)[0])
+                found, before = words(codec, text)
+                seen.update(found)
                 if len(seen) > SEEN:
                     yield report()
         yield report()
@@ -84,26 +131,14 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per document with its common pre-tokens' sum, and one per other pre-token with its frequency."""
-        codec, known = loaded(codec_data.value), common.value
-
-        def info(chunk: str) -> tuple[int, tuple[str, ...]]:
-            pieces = codec.pieces(chunk)
-            return sum(known.get(p, 0) for p in pieces), tuple(p for p in pieces if p not in known)
-
-        of = _Chunks(info)
+        known = Known(loaded(codec_data.value), common.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 index: list[int] = []
                 cols: list[list] = [[] for _ in kinds]
                 for i, (key, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                    found, total = chunks(codec, text)
-                    rest: Counter = Counter()
-                    for chunk, n in found.items():
-                        tokens, others = of[chunk]
-                        total += tokens * n
-                        for p in others:
-                            rest[p] += n
+                    total, rest = known.frequencies(text)
                     m = len(rest) + 1
                     index += [i] * m
                     for col, head, tail in zip(cols, (key, len(text.encode()), 1, total, None, None), ([key] * (m - 1), [None] * (m - 1), [None] * (m - 1), [None] * (m - 1), rest.keys(), rest.values())):
