@@ -1,6 +1,269 @@
-"""Queries over the supplied tables, and the SQL that gives the same rows."""
+"""Queries over the supplied tables, and the SQL that gives the same rows.
+
+Most are scripts of the pipeline language. Texts that a codec has to read are first written to the folder
+that driver and executors share.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.flow import Flow
+from millrace.operators import scripting
+from millrace.plans.script import run_script
+from millrace.session import child
+from millrace.sources import native, text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
+
+
+class Tables(dict):
+    """Tables of a folder, opened when they are asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __contains__(self, name) -> bool:
+        return name in TABLES or super().__contains__(name)
+
+    def __missing__(self, name: str) -> Flow:
+        if name not in TABLES:
+            raise KeyError(name)
+        self[name] = flow(self.spark, self.sf_dir, name)
+        return self[name]
+
+    def get(self, name, default=None):
+        return self[name] if name in self else default
+
+
+def flow(spark: SparkSession, sf_dir: str, name: str) -> Flow:
+    return Flow.parquet(spark, f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh path below the shared folder; a local one only where the session names none, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return f"{at.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def script(name: str, code: str, sql: str | None = None, **more) -> None:
+    """Registers a script; it may use any table by name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run_script(spark, code, Tables(spark, sf_dir), **more).plain()
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+# -- filters and expressions -----------------------------------------------------------------------
+script("script_end_to_end", """
+    # total price of finished orders by priority
+    io.file.read('orders') | rel.where(o_orderstatus = 'F') | rel.select(o_orderpriority, o_totalprice)
+    | rel.group(sum o_totalprice) | rel.select(o_orderpriority, to_string(_sum) as total) | rel.order_by(o_orderpriority);
+""", "SELECT o_orderpriority, printf('%.6f', sum(o_totalprice)) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+script("where_eq", "io.file.read('orders') | rel.where(o_orderstatus = 'O') | rel.select(o_orderkey, o_orderstatus);", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O'")
+script("where_range", "io.file.read('orders') | rel.where(o_totalprice >= 1000.0 && o_totalprice < 50000.0) | rel.select(o_orderkey, o_totalprice);", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 50000")
+script("where_bool", "io.file.read('orders') | rel.where(not (o_orderstatus = 'F' or o_orderkey % 3 = 0) and !(o_custkey > 500)) | rel.select(o_orderkey);", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_orderkey % 3 = 0) AND NOT (o_custkey > 500)")
+script("where_compare", "io.file.read('orders') | rel.where(o_orderpriority <> '1-URGENT' && o_orderkey <= 5000 && o_orderpriority != '5-LOW') | rel.select(o_orderkey, o_orderpriority);", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderkey <= 5000 AND o_orderpriority <> '5-LOW'")
+script("select_arith", "io.file.read('lineitem') | rel.select(l_orderkey + l_partkey * 2 - l_suppkey as x, l_quantity * 2.0 + 1.5 as y, l_quantity - 0.5 as z);", "SELECT l_orderkey + l_partkey * 2 - l_suppkey AS x, l_quantity * 2.0::DOUBLE + 1.5::DOUBLE AS y, l_quantity - 0.5::DOUBLE AS z FROM lineitem")
+script("select_int_div", "io.file.read('lineitem') | rel.select(l_orderkey / 7 as a, (0 - l_partkey) / 7 as b, l_quantity / 4.0 as c);", "SELECT l_orderkey // 7 AS a, -(l_partkey // 7) AS b, l_quantity / 4.0::DOUBLE AS c FROM lineitem")
+script("select_mod", "io.file.read('lineitem') | rel.select(l_orderkey % 7 as a, (0 - l_partkey) mod 5 as b);", "SELECT l_orderkey % 7 AS a, -(l_partkey % 5) AS b FROM lineitem")
+script("select_bitwise", "io.file.read('lineitem') | rel.select(l_orderkey & l_partkey as a, l_orderkey | l_suppkey as b, ~l_orderkey as c);", "SELECT l_orderkey & l_partkey AS a, l_orderkey | l_suppkey AS b, ~l_orderkey AS c FROM lineitem")
+script("select_unary", "io.file.read('lineitem') | rel.select(-l_orderkey as a, -l_quantity as b);", "SELECT -l_orderkey AS a, -l_quantity AS b FROM lineitem")
+script("select_uint", "io.file.read('orders') | rel.select(o_orderkey as uint:k, o_orderkey) | rel.select(k - 5U > 100U as wraps, k / 3U as q, k % 3U as r, o_orderkey);", "SELECT o_orderkey < 5 OR o_orderkey > 105 AS wraps, o_orderkey // 3 AS q, o_orderkey % 3 AS r, o_orderkey FROM orders")
+script("select_if", "io.file.read('orders') | rel.select(o_orderkey, if (o_totalprice < 1000.0) then ('low') else (if (o_totalprice < 100000.0) then ('mid') else ('high')) as band);", "SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'low' WHEN o_totalprice < 100000 THEN 'mid' ELSE 'high' END AS band FROM orders")
+script("select_concat", "io.file.read('nation') | rel.select(n_name + '/' + to_string(n_regionkey) as x);", "SELECT n_name || '/' || n_regionkey AS x FROM nation")
+script("upper", "io.file.read('customer') | rel.select(c_custkey, str.to_upper_case(c_name) as x);", "SELECT c_custkey, upper(c_name) AS x FROM customer")
+script("lower", "io.file.read('customer') | rel.select(c_custkey, str.to_lower_case(c_mktsegment) as x);", "SELECT c_custkey, lower(c_mktsegment) AS x FROM customer")
+script("to_string_double", "io.file.read('customer') | rel.select(c_custkey, to_string(c_acctbal) as x, to_string(c_custkey = 5) as b);", "SELECT c_custkey, printf('%.6f', c_acctbal) AS x, (c_custkey = 5)::VARCHAR AS b FROM customer")
+script("retag", "io.file.read('orders') | rel.select(o_totalprice as string:s, to_string(o_orderkey) as int:i, o_orderkey as double:d);", "SELECT printf('%.6f', o_totalprice) AS s, o_orderkey AS i, o_orderkey::DOUBLE AS d FROM orders")
+script("regex_match", r"io.file.read('part') | rel.where(str.regex_match('^[a-m].*e', p_name)) | rel.select(p_partkey, p_name);", r"SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-m].*e', 's')")
+script("regex_replace", r"io.file.read('orders') | rel.select(o_orderkey, str.regex_replace('(\d)-([A-Z]+)', o_orderpriority, '\2:\1') as x);", r"SELECT o_orderkey, CASE WHEN regexp_matches(o_orderpriority, '(\d)-([A-Z]+)') THEN regexp_extract(o_orderpriority, '(\d)-([A-Z]+)', 2) || ':' || regexp_extract(o_orderpriority, '(\d)-([A-Z]+)', 1) ELSE o_orderpriority END AS x FROM orders")
+script("regex_replace_empty", r"io.file.read('orders') | rel.select(o_orderkey, str.regex_replace_empty_on_no_match('[12]-(.)', o_orderpriority, '<\1>') as x);", r"SELECT o_orderkey, CASE WHEN regexp_matches(o_orderpriority, '[12]-(.)') THEN '<' || regexp_extract(o_orderpriority, '[12]-(.)', 1) || '>' ELSE '' END AS x FROM orders")
+script("regex_replace_all", r"io.file.read('part') | rel.select(p_partkey, str.regex_replace_all('[aeiou](.)', p_name, '\1$') as x);", r"SELECT p_partkey, regexp_replace(p_name, '[aeiou](.)', '\1$', 'g') AS x FROM part")
+script("starts_ends_contains", "io.file.read('part') | rel.select(p_partkey, str.starts_with(p_type, 'S') as s, str.ends_with(p_type, 'L') as e, str.contains(p_type, 'A') as c);", "SELECT p_partkey, starts_with(p_type, 'S') AS s, ends_with(p_type, 'L') AS e, contains(p_type, 'A') AS c FROM part")
+script("istring_eq", "io.file.read('nation') | rel.where(to_istring(n_name) = str.to_lower_case(n_name)) | rel.select(n_nationkey, n_name);", "SELECT n_nationkey, n_name FROM nation")
+script("istring_group", "io.file.read('orders') | rel.select(if (o_orderkey % 2 = 0) then (str.to_lower_case(o_orderpriority)) else (o_orderpriority) as istring:p) | rel.group(count) | rel.select(str.to_upper_case(p) as p, _count);", "SELECT o_orderpriority AS p, count(*) AS _count FROM orders GROUP BY 1")
+script("sha256_str", "io.file.read('customer') | rel.select(c_custkey, str.sha256(c_name) as x);", "SELECT c_custkey, sha256(c_name) AS x FROM customer")
+script("json_get", "io.file.read('events') | rel.select(event_id, str.json.get(props, 'k') as k, str.json.get(props, 'absent') as no);", "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS VARCHAR), '') AS k, '' AS no FROM events")
+script("time_convert", "io.file.read('events') | rel.select(event_id, time.usec_to_msec(ts) as ms, time.usec_to_sec(ts) as s, time.sec_to_usec(time.usec_to_sec(ts)) as back, time.msec_to_usec(time.usec_to_msec(ts)) as mback);", "SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 * 1000000 AS back, epoch_us(ts) // 1000 * 1000 AS mback FROM events")
+script("time_extract", "io.file.read('events') | rel.select(event_id, time.extract_year(ts) as y, time.extract_month(ts) as mo, time.extract_day(ts) as d, time.extract_hour(ts) as h, time.extract_minute(ts) as mi, time.extract_second(ts) as s);", "SELECT event_id, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s FROM events")
+script("time_format", "io.file.read('orders') | rel.select(o_orderkey, time.format(d, '%Y-%m-%d at %H:%M') as x) ;".replace("rel.select(o_orderkey, time", "rel.select(o_orderkey, o_orderdate as uint:d) | rel.select(o_orderkey, time"), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d at %H:%M') AS x FROM orders")
+script("time_parse", "io.file.read('orders') | rel.select(o_orderkey, o_orderdate as uint:d) | rel.select(o_orderkey, time.parse(time.format(d, '%Y/%m/%d') + ' rest', '%Y/%m/%d') as x);", "SELECT o_orderkey, epoch_us(date_trunc('day', o_orderdate)) AS x FROM orders")
+
+# -- aggregation ----------------------------------------------------------------------------------
+script("group_count", "io.file.read('events') | rel.select(event_type, user_id) | rel.group(count);", "SELECT event_type, user_id, count(*) AS _count FROM events GROUP BY 1, 2")
+script("group_sum", "io.file.read('lineitem') | rel.select(l_returnflag, l_linestatus, l_partkey) | rel.group(sum l_partkey);", "SELECT l_returnflag, l_linestatus, sum(l_partkey)::BIGINT AS _sum FROM lineitem GROUP BY 1, 2")
+script("group_avg_int", "io.file.read('lineitem') | rel.select(l_returnflag, l_linestatus, l_partkey) | rel.group(avg l_partkey);", "SELECT l_returnflag, l_linestatus, sum(l_partkey)::BIGINT // count(*) AS _avg FROM lineitem GROUP BY 1, 2")
+script("group_avg_double", "io.file.read('lineitem') | rel.select(l_returnflag, l_linestatus, l_quantity) | rel.group(avg l_quantity) | rel.select(l_returnflag, l_linestatus, to_string(_avg) as a);", "SELECT l_returnflag, l_linestatus, printf('%.6f', avg(l_quantity)) AS a FROM lineitem GROUP BY 1, 2")
+script("group_min", "io.file.read('orders') | rel.select(o_orderpriority, o_totalprice) | rel.group(min o_totalprice);", "SELECT o_orderpriority, min(o_totalprice) AS o_totalprice FROM orders GROUP BY 1")
+script("group_max", "io.file.read('lineitem') | rel.select(l_extendedprice, l_returnflag) | rel.group(max l_extendedprice);", "SELECT max(l_extendedprice) AS l_extendedprice, l_returnflag FROM lineitem GROUP BY 2")
+script("group_median", "io.file.read('events') | rel.select(user_id, event_type) | rel.group(median user_id);", "SELECT event_type, quantile_disc(user_id, 0.5) AS _median FROM events GROUP BY 1")
+script("group_median_double", "io.file.read('events') | rel.select(event_type, value) | rel.group(median value);", "SELECT event_type, quantile_disc(value, 0.5) AS _median FROM events GROUP BY 1")
+script("group_sum_count", "io.file.read('events') | rel.select(event_type, user_id) | rel.group(sum_count user_id);", "SELECT event_type, sum(user_id)::BIGINT AS _sum, count(*) AS _count FROM events GROUP BY 1")
+
+
+@query("SELECT event_type, sum(user_id)::BIGINT // count(*) AS _avg FROM events GROUP BY 1")
+def merge_avg(spark, sf_dir):
+    events = flow(spark, sf_dir, "events")
+    parts = [events.where(f"event_id % 2 = {k}").select("event_type, user_id").group("sum_count", "user_id") for k in (0, 1)]
+    return parts[0].union(parts[1]).merge_avg().plain()
+
+
+# -- joins ----------------------------------------------------------------------------------------
+@query("SELECT o_orderkey, o_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_natural(spark, sf_dir):
+    customers = flow(spark, sf_dir, "customer").select("c_custkey as o_custkey, c_name")
+    return flow(spark, sf_dir, "orders").select("o_orderkey, o_custkey").join_natural(customers).plain()
+
+
+@query("SELECT c_custkey, c_nationkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey")
+def join_natural_dup(spark, sf_dir):
+    orders = flow(spark, sf_dir, "orders").select("o_custkey as c_custkey, o_orderkey")
+    return flow(spark, sf_dir, "customer").select("c_custkey, c_nationkey").join_natural(orders).plain()
+
+
+@query("SELECT a.r_name, b.r_name AS other FROM region a CROSS JOIN region b")
+def join_natural_cross(spark, sf_dir):
+    regions = flow(spark, sf_dir, "region")
+    return regions.select("r_name").join_natural(regions.select("r_name as other")).plain()
+
+
+@query("SELECT c_custkey, coalesce(o_orderkey, 0) AS o_orderkey, coalesce(o_orderstatus, '') AS o_orderstatus FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) ON c_custkey = o_custkey")
+def join_left_defaults(spark, sf_dir):
+    orders = flow(spark, sf_dir, "orders").where("o_totalprice > 200000.0").select("o_custkey as c_custkey, o_orderkey, o_orderstatus")
+    return flow(spark, sf_dir, "customer").select("c_custkey").join_left(orders).plain()
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def join_anti(spark, sf_dir):
+    orders = flow(spark, sf_dir, "orders").where("o_totalprice > 200000.0").select("o_custkey as c_custkey")
+    return flow(spark, sf_dir, "customer").select("c_custkey, c_name").join_anti(orders).plain()
+
+
+@query("SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'")
+def istring_join(spark, sf_dir):
+    wanted = Flow.of(child(spark).createDataFrame([("bUiLdInG",)], "seg string")).select("seg as istring:seg")
+    return flow(spark, sf_dir, "customer").select("c_custkey, c_mktsegment as istring:seg").join_natural(wanted).select("c_custkey").plain()
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def semi_idiom(spark, sf_dir):
+    keys = flow(spark, sf_dir, "customer").where("c_acctbal > 0.0").select("c_custkey as o_custkey").unique()
+    return flow(spark, sf_dir, "orders").select("o_orderkey, o_custkey").join_natural(keys).plain()
+
+
+@query("SELECT c_nationkey AS k FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+def except_idiom(spark, sf_dir):
+    return flow(spark, sf_dir, "customer").select("c_nationkey as k").join_anti(flow(spark, sf_dir, "supplier").select("s_nationkey as k")).plain()
+
+
+@query("SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def intersect_idiom(spark, sf_dir):
+    return flow(spark, sf_dir, "customer").select("c_nationkey as k").unique().join_natural(flow(spark, sf_dir, "supplier").select("s_nationkey as k").unique()).plain()
+
+
+@query()
+def join_consistent_hash(spark, sf_dir):
+    suppliers = flow(spark, sf_dir, "supplier").where("s_suppkey <= 20").select("s_suppkey, s_name")
+    return flow(spark, sf_dir, "orders").select("o_orderkey").join_consistent_hash(suppliers).plain()
+
+
+# -- order, distinct, sets ------------------------------------------------------------------------
+script("order_by_multi", "io.file.read('orders') | rel.order_by(o_orderpriority, o_totalprice, o_orderkey) | rel.where(_rownum <= 50U) | rel.select(o_orderkey, o_orderpriority);", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_totalprice, o_orderkey LIMIT 50")
+script("order_by_desc", "io.file.read('orders') | rel.order_by.desc(o_totalprice, o_orderkey) | rel.select(o_orderkey, o_totalprice) | rel.where(_rownum < 31U);", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 30")
+script("order_by_aliases", "io.file.read('orders') | rel.order_by.mergesort.desc(o_totalprice, o_orderkey) | rel.order_by.quicksort(o_orderstatus) | rel.where(_rownum <= 40U) | rel.select(o_orderkey);", "SELECT o_orderkey FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey DESC LIMIT 40")
+script("topk_idiom", "io.file.read('lineitem') | rel.select(l_extendedprice) | rel.order_by.desc(l_extendedprice) | rel.where(_rownum <= 10U);", "SELECT l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC LIMIT 10")
+script("rownum", "io.file.read('orders') | rel.order_by(o_orderkey) | rel.select(o_orderkey, _rownum as n, other._rownum as before);", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n, row_number() OVER (ORDER BY o_orderkey) - 1 AS before FROM orders")
+script("prev_lag", "io.file.read('events') | rel.order_by(event_id) | rel.select(event_id, user_id, user_id - prev.user_id as step);", "SELECT event_id, user_id, user_id - lag(user_id, 1, 0) OVER (ORDER BY event_id) AS step FROM events")
+script("prev_running_sum", "io.file.read('events') | rel.order_by(event_id) | rel.select(event_id, prev.total + user_id as total, if (user_id > prev.top) then (user_id) else (prev.top) as top);", "SELECT event_id, (sum(user_id) OVER (ORDER BY event_id))::BIGINT AS total, greatest(0, max(user_id) OVER (ORDER BY event_id)) AS top FROM events")
+script("prev_general", "io.file.read('events') | rel.order_by(event_id) | rel.select(event_id, (prev.x * 3 + user_id) % 1000 as int:x);", "WITH RECURSIVE e AS (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) AS i FROM events), r AS (SELECT i, event_id, user_id % 1000 AS x FROM e WHERE i = 1 UNION ALL SELECT e.i, e.event_id, (r.x * 3 + e.user_id) % 1000 FROM r JOIN e ON e.i = r.i + 1) SELECT event_id, x FROM r")
+script("unique_rows", "io.file.read('events') | rel.select(event_type, user_id) | rel.unique();", "SELECT DISTINCT event_type, user_id FROM events")
+script("count_distinct_idiom", "io.file.read('events') | rel.select(event_type, user_id) | rel.unique() | rel.select(event_type) | rel.group(count);", "SELECT event_type, count(DISTINCT user_id) AS _count FROM events GROUP BY 1")
+script("union_files", "io.file.read('nation', 'nation') | rel.select(n_nationkey);", "SELECT n_nationkey FROM nation UNION ALL SELECT n_nationkey FROM nation")
+script("str_split", "io.file.read('orders') | rel.select(o_orderkey, o_orderpriority) | rel.str_split(o_orderpriority, '-');", "SELECT o_orderkey, unnest(string_split(o_orderpriority, '-')) AS o_orderpriority, generate_subscripts(string_split(o_orderpriority, '-'), 1) - 1 AS _counter FROM orders")
+script("generate_sequence", "rel.generate_sequence(-5, 3 * 1000) | rel.select(_seq, _seq * _seq as sq);", "SELECT range AS _seq, range * range AS sq FROM range(-5, 3000)")
+script("record_count", "io.file.read('lineitem') | rel.where(l_returnflag = 'R') | rel.record_count();", "SELECT count(*) AS _count FROM lineitem WHERE l_returnflag = 'R'")
+script("assert_nonempty", "io.file.read('region') | rel.assert.nonempty() | rel.select(r_name);", "SELECT r_name FROM region")
+script("remote", "io.file.read('nation') | meta.remote('localhost', rel.where(n_regionkey = 1) | rel.select(n_name));", "SELECT n_name FROM nation WHERE n_regionkey = 1")
+
+
+# -- codecs and files -----------------------------------------------------------------------------
+def _roundtrip(kind: str):
+    @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+    def run(spark, sf_dir):
+        nation, path = flow(spark, sf_dir, "nation").order_by("n_nationkey"), scratch(spark)
+        if kind == "native":
+            native.write(nation, path)
+            return native.read_shards(spark, path).plain()
+        text.save(getattr(text, f"{kind}_lines")(nation), path, end="\0" if kind == "usv" else "\n")
+        return (text.from_usv(spark, path) if kind == "usv" else getattr(text, f"from_{kind}")(text.lines(spark, path))).plain()
+
+    del QUERIES["run"]
+    QUERIES[f"{kind}_roundtrip"], ORACLE_SQL[f"{kind}_roundtrip"] = run, ORACLE_SQL.pop("run")
+
+
+for _kind in ("tsv", "csv", "usv", "native"):
+    _roundtrip(_kind)
+
+
+@query(r"SELECT regexp_extract(url, '^(\w+)://([^/]+)', 1) AS scheme, regexp_extract(url, '^(\w+)://([^/]+)', 2) AS host FROM pages WHERE regexp_matches(url, '^(\w+)://([^/]+)')")
+def from_text(spark, sf_dir):
+    path = scratch(spark)
+    spark.read.parquet(f"{sf_dir}/pages.parquet").where("url is not null").select(F.regexp_replace("url", "[\r\n]", " ")).write.text(path)
+    return text.from_text(text.lines(spark, path), r"^(\w+)://([^/]+)", ["scheme", "string:host"], ignore_non_matching=True).plain()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0")
+def parallel_mapping(spark, sf_dir):
+    """Orders split into files of 5,000 records, a filter over each, all together."""
+    orders = flow(spark, sf_dir, "orders").order_by("o_orderkey").select("o_orderkey")
+    files = text.record_split(orders, 5000, f"{scratch(spark)}/shard-")
+    listed = Flow.of(child(spark).createDataFrame([(f, "localhost") for f in files], "file_name string, host_name string"))
+    return scripting.per_file(listed, lambda f: f.where("o_orderkey % 7 = 0"), lambda name: text.from_tsv(text.lines(spark, name))).plain()
+
+
+@query("SELECT count(*) AS _count FROM orders")
+def record_split(spark, sf_dir):
+    orders = flow(spark, sf_dir, "orders").order_by("o_orderkey").select("o_orderkey, o_orderstatus")
+    files = text.record_split(orders, 10_000, f"{scratch(spark)}/shard-")
+    first, *rest = [text.from_tsv(text.lines(spark, f)) for f in files]
+    for r in rest:
+        first = first.union(r)
+    return first.record_count().plain()
+
+
+script("python_udtf", """
+    io.file.read('events') | rel.select(event_id, value) | rel.order_by(event_id) | lang.python(@@@
+        for r in input_stream:
+            output_stream.write({'event_id': r.event_id, 'v': r.value + 1.0})
+    @@@);
+""", "SELECT event_id, value + 1 AS v FROM events", allow_side_effects=True)
+
+
+@query("SELECT o_orderpriority, printf('%.6f', sum(o_totalprice)) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def macro_op(spark, sf_dir):
+    """A script in a file as an operator of its own."""
+    with tempfile.TemporaryDirectory() as folder:
+        with open(f"{folder}/totals_of", "w") as f:
+            f.write("rel.where(o_orderstatus = $1) | rel.select(o_orderpriority, $2) | $3(sum $2) | rel.select(o_orderpriority, to_string(_sum) as total);")
+        return run_script(spark, "io.file.read('orders') | totals_of('F', o_totalprice, rel.group);", Tables(spark, sf_dir), search=[folder]).plain()
