@@ -3,7 +3,7 @@
 Headers alone are shuffled by payload digest: of the records with equal payloads the one with the
 smallest page id keeps its payload as a response, the others become revisits that name it. The
 payloads are shuffled once, by page, into archives of bounded size with fresh headers, written
-through Spark to any store. Reading goes by ``Content-Length`` alone, so payloads can hold anything;
+gzipped through Spark to any store. Reading goes by ``Content-Length`` alone, so payloads can hold anything;
 revisits are joined to their originals again for size and digest.
 
 Edge cases: a null html is an empty payload, a null url gives no target header, line ends in urls
@@ -14,6 +14,7 @@ an empty result. Only page_id, url and html are read.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,11 +60,16 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int =
         F.when(revisit, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n").otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"), body,
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+
+
+def plain(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record."""
+    """Header fields (names in lower case) and block of each record of an archive, gzipped or not."""
+    data = plain(data)
     at, view = 0, memoryview(data)
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
