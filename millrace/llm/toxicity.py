@@ -5,8 +5,8 @@ ordinary texts by the number of texts that have them; the toxic one holds what t
 the same words, and before them those that occur in toxic texts ``LIFT`` times as often. A text is cut
 into windows of ``WINDOW`` words. What the toxic dictionary saves on a window, in bytes of compressed
 length, is its gain; a logistic model calibrated on texts that neither dictionary has seen turns a
-text's gains (the two greatest, the sum of those of 3 bytes or more, and the number of windows) into a
-score, shifted so that 0.5 is the threshold of greatest F1.
+text's gains (the two greatest, the sum of those of 3 bytes or more, the number of windows, the shares of
+windows with gains of 1 and of 3 bytes or more, and the mean) into a score, shifted so that 0.5 is the threshold of greatest F1.
 
 Fitting takes at most ``SAMPLE`` labelled rows, those with the least hashes of doc_id, so they can be
 broadcast to the documents; dictionaries hold at most ``TOXIC_WORDS`` and ``ORDINARY_WORDS`` words of 40
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, table, text_or_empty
 
 SAMPLE, TOXIC_WORDS, ORDINARY_WORDS = 50_000, 20_000, 200_000
-WINDOW, LIFT, LEAST_TOXIC, LEAST_ORDINARY = 12, 8.0, 4, 3
+WINDOW, LIFT, LEAST_TOXIC, LEAST_ORDINARY = 32, 8.0, 4, 3
 _WORD = re.compile(r"[^\W_]+")
-FEATURES = 4
+FEATURES = 7
 
 
 def fold(doc_id: Column) -> Column:
@@ -67,7 +67,8 @@ def features(text: str, ordinary: Compressor, toxic: Compressor) -> list[float]:
         w = f" {' '.join(words[at : at + WINDOW])} ".encode()
         gains.append(ordinary.length(w) - toxic.length(w))
     best = sorted(gains, reverse=True)
-    return [best[0], best[1], float(np.log1p(sum(g for g in best if g >= 3))), float(np.log1p(len(gains) - 2))]
+    n = len(gains) - 2
+    return [best[0], best[1], float(np.log1p(sum(g for g in best if g >= 3))), float(np.log1p(n)), sum(g >= 1 for g in best) / n, sum(g >= 3 for g in best) / n, sum(best) / n]
 
 
 class Model:

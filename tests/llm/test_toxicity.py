@@ -63,10 +63,10 @@ def test_calibration_with_ties():
     y = np.r_[np.zeros(40), np.ones(20)]
     model.calibrate(x, y)
     z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))] @ model.weights
-    assert ((z >= 0) == (y == 1)).all() and toxicity.FEATURES == 4
+    assert ((z >= 0) == (y == 1)).all()
 
 
 @pytest.mark.parametrize("text", [None, "", "!!!", "a", "é" * 500])
 def test_features_of_odd_texts(text):
     model = Model(b" one two", b" bad")
-    assert model.features([text]).shape == (1, 4)
+    assert model.features([text]).shape == (1, toxicity.FEATURES)
