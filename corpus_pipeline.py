@@ -13,7 +13,7 @@ from millrace.llm.bpe import encode_decode
 from millrace.llm.common import scratch, table
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.line_dedup import drop_repeated_lines
-from millrace.llm.simhash import keep_one
+from millrace.llm.near_copies import keep_one
 from millrace.llm.toxicity import drop_toxic
 
 
