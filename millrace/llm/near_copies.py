@@ -10,7 +10,9 @@ order puts shingles that a sample of one document in ``EVERY`` repeats behind al
 groups small; any order is right. Of a group that shares a shingle all pairs are candidates where it has
 at most ``SMALL`` texts. In a larger one each text is first held against one of four centres; only pairs
 that then still lie in different components are candidates too, so a large group of near copies
-makes no quadratic number of them. Candidates are verified exactly on their texts.
+makes no quadratic number of them. Of a candidate first bitmaps are compared, in which each shingle
+turns one of ``BITS`` bits: shingles that only one text has number at least the bits that differ. Those
+that can still be similar are verified exactly on their texts.
 
 Edge cases: of a text with fewer than five words the whole is the only shingle; null, empty and blank
 texts are alike; texts with equal sets are one node; null doc_ids come first; an empty table gives an
@@ -33,6 +35,7 @@ from millrace.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 SMALL, EVERY = 32, 16
+BITS = 2048
 #: Shingles that the order puts last, at most; which ones they are doesn't change the result.
 COMMON = 200_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -62,6 +65,11 @@ def similar(a: np.ndarray, b: np.ndarray, at_least: float = SIMILARITY) -> bool:
     return both >= at_least * (len(a) + len(b) - both) - 1e-9
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """A bit is 1 if an odd number of shingles fall on it."""
+    return np.packbits(np.bincount((found & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], at_least: float = SIMILARITY) -> np.ndarray:
     """The first shingles in the order: one of them is in any similar set's prefix."""
     keys, counts = common
@@ -107,8 +115,21 @@ def _batch(rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in rows.T], names)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts are similar."""
+    side = lambda node, suffix: sketches.select(F.col("node").alias(node), F.col("n").alias(f"n_{suffix}"), F.col("bits").alias(f"bits_{suffix}"))
+    measured = pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(apart <= total * ((1 - at_least) / (1 + at_least)) + 1e-9))
+
+    pairs = cut(measured.mapInArrow(possible, "a bigint, b bigint"))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     held = cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
@@ -129,8 +150,9 @@ def near_copies(docs: DataFrame, at_least: float = SIMILARITY, small: int = SMAL
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [node_of(shingles(t.as_py())) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.int64())], ["doc_id", "text_hash", "node"])
+            found = [shingles(t.as_py()) for t in batch.column(2)]
+            own = [pa.array([node_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([bitmap(x) for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *own], ["doc_id", "text_hash", "node", "n", "bits"])
 
     def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +164,8 @@ def near_copies(docs: DataFrame, at_least: float = SIMILARITY, small: int = SMAL
             found = [s for t in batch.column(0) if node_of(s := shingles(t.as_py())) % EVERY == 0]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
 
-    rows = cut(source.mapInArrow(named, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, node bigint"))
+    rows = cut(source.mapInArrow(named, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, node bigint, n bigint, bits binary"))
+    sketches = rows.select("node", "n", "bits").dropDuplicates(["node"])
     often = only.mapInArrow(sampled, "h bigint").groupBy("h").count().where("count >= 3").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
     keys, counts = (often.column(i).to_numpy() for i in range(2))
     order = np.argsort(keys.view(np.uint64))
@@ -201,14 +224,14 @@ def near_copies(docs: DataFrame, at_least: float = SIMILARITY, small: int = SMAL
     found = cut(only.mapInArrow(entries, "h bigint, node bigint, n bigint, pos bigint").repartition("h").sortWithinPartitions("h", "node").mapInArrow(candidates, "kind bigint, a bigint, b bigint, n bigint, pos bigint"))
     texts = only.mapInArrow(with_node, "node bigint, text binary")
     pairs = cut(found.where("kind = 0").select("a", "b").distinct())
-    edges = cut(_verified(pairs, texts, at_least))
+    edges = cut(_verified(pairs, sketches, texts, at_least))
     label = components(edges)
     large = found.where("kind = 1").select(F.col("b").alias("h"), F.col("a").alias("node"), "n", "pos")
     if not large.isEmpty():
         large = large.join(label, "node", "left").select("h", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
         more = large.repartition("h").sortWithinPartitions("h", "node").mapInArrow(across, "a bigint, b bigint").distinct()
         more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-        label = components(edges.unionByName(_verified(more, texts, at_least)))
+        label = components(edges.unionByName(_verified(more, sketches, texts, at_least)))
     return rows.join(label, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("label"))
 
 
