@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (as in tests) a local one is set.
+    Only where the session has none and all of Spark is in one process (as in tests) a local one is set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="millrace-checkpoint-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -41,6 +44,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep(df: DataFrame, what: str, width: int | None = None) -> tuple[DataFrame, str]:
+    """``df`` as a written table in the shared folder, and its path for ``forget``; ``width`` bounds its files.
+
+    What is read again has its true size for the planner, and no lineage. A file costs each executor some
+    processes on local file systems, so what is small should have few.
+    """
+    path = scratch(df.sparkSession, what)
+    (df.coalesce(width) if width else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -6,7 +6,8 @@ fingerprints are compared. Of ``RADIUS`` + 1 blocks of bits at least one is equa
 so each fingerprint goes once to a trie per block, whose root is that block's value. In a trie pairs
 of nodes are traversed together: their common bits are compared, the pair is dropped once more bits
 differ than the budget has, and where all below is one component already. A root with more than
-``ROOT`` fingerprints is dealt out further, by pairs of nodes some levels below it. Of a trie's links a
+``ROOT`` fingerprints is dealt out by the pairs of nodes some levels below it that the budget allows, and
+so on with these, until no pair of nodes has more. Of a trie's links a
 spanning forest is kept, at most one edge a fingerprint, and components follow by star contraction.
 
 Edge cases: texts without words (null, empty) have fingerprint zero, which links like any other; of
@@ -17,20 +18,20 @@ table gives an empty one; only the id and text columns are read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, table, text_or_empty
+from millrace.llm.common import cut, forget, keep, table, text_or_empty
 from millrace.llm.components import components
 
 RADIUS, WORDS = 4, 4
-ROOT = 1 << 16
+#: A root with more fingerprints is dealt out, by so many bits at a time at most.
+ROOT, LEVELS = 1 << 16, 8
 #: A pair of nodes with at most so many pairs of fingerprints is compared at once.
 LEAF = 1 << 14
 
@@ -140,26 +141,52 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+KEY = ["block", "value", "depth", "low", "high"]
+
+
+def _turned(blocks: list[tuple[int, int]]) -> Column:
+    """The bits that follow the entry's block, around the end."""
+    out = F.lit(0).cast("bigint")
+    for i, (a, w) in enumerate(blocks):
+        at = (a + w) % 64
+        turned = F.shiftleft("fp", at).bitwiseOR(F.shiftrightunsigned("fp", 64 - at)) if at else F.col("fp")
+        out = F.when(F.col("block") == i, turned).otherwise(out)
+    return out
+
+
+def _dealt(entries: DataFrame, large: DataFrame, blocks: list[tuple[int, int]], radius: int) -> DataFrame:
+    """``entries`` with those of the groups ``large`` (KEY, levels, sides) dealt out by pairs of nodes ``levels`` bits deeper.
+
+    An entry comes to each pair of its own node and one that the error budget, less what the pair of nodes
+    above has used, still allows. Groups with nothing on one side are left out.
+    """
+    rest = entries.join(large, KEY, "left").where("levels is null or low = high or sides = 2").withColumn("turned", _turned(blocks))
+    masks = "filter(sequence(0, shiftleft(1, levels) - 1), m -> bit_count(m) <= {} - bit_count(low ^ high))".format(radius)
+    rest = rest.withColumn("mask", F.explode(F.when(F.col("levels").isNull(), F.array(F.lit(0))).otherwise(F.expr(masks))))
+    rest = rest.withColumn("node", F.expr("shiftrightunsigned(turned, 64 - depth - levels) & (shiftleft(1L, levels) - 1)")).withColumn("other", F.expr("node ^ mask"))
+    deeper = lambda side, node: F.expr(f"shiftleft({side}, levels) | {node}")
+    low = F.when(F.expr("low = high"), deeper("low", "least(node, other)")).when(F.expr("second = 0"), deeper("low", "node")).otherwise(deeper("low", "other"))
+    high = F.when(F.expr("low = high"), deeper("high", "greatest(node, other)")).when(F.expr("second = 0"), deeper("high", "other")).otherwise(deeper("high", "node"))
+    second = F.when(F.expr("low = high"), F.expr("int(node > other)")).otherwise(F.col("second"))
+    settled = F.col("levels").isNull()
+    return rest.select("block", "value", F.expr("depth + coalesce(levels, 0)").alias("depth"), F.when(settled, F.col("low")).otherwise(low).alias("low"), F.when(settled, F.col("high")).otherwise(high).alias("high"), F.when(settled, F.col("second")).otherwise(second).alias("second"), "fp")
+
+
 def links(fps: DataFrame, radius: int = RADIUS, most: int = ROOT) -> DataFrame:
     """Edges a, b that connect all of ``fps`` (distinct fp) that differ in at most ``radius`` bits."""
-    blocks = _blocks(radius)
+    spark, blocks = fps.sparkSession, _blocks(radius)
     parts = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", 64 - a - w).bitwiseAND((1 << w) - 1).alias("value")) for i, (a, w) in enumerate(blocks)))
-    entries = fps.select("fp", F.explode(parts).alias("x")).select("x.block", "x.value", "fp")
-    # a root's levels below which pairs of nodes are dealt out; there are at most (radius + 1) / most roots a fingerprint with any
-    large = entries.groupBy("block", "value").count().where(F.col("count") > most)
-    large = large.select("block", "value", F.least(F.lit(12), F.ceil(F.log2(F.col("count") / most)) + 2).cast("int").alias("levels"))
-    entries = entries.join(large, ["block", "value"], "left").fillna(0, ["levels"])
-    id_, sub = F.lit(None).cast("bigint"), F.lit(0)
-    for i, (a, w) in enumerate(blocks):
-        # the bits that follow the block, around the end
-        turned = F.shiftleft("fp", (a + w) % 64).bitwiseOR(F.shiftrightunsigned("fp", (64 - a - w) % 64)) if (a + w) % 64 else F.col("fp")
-        sub = F.when(F.col("block") == i, turned).otherwise(sub)
-    node = F.expr("shiftrightunsigned(turned, 64 - levels)")
-    masks = F.filter(F.sequence(F.lit(0), F.shiftleft(F.lit(1), 12) - 1), lambda m: (m < F.expr("shiftleft(1, levels)")) & (F.bit_count(m) <= radius))
-    pairs = F.when(F.col("levels") == 0, F.array(F.lit(0))).otherwise(masks)
-    entries = entries.withColumn("turned", sub).withColumn("node", F.when(F.col("levels") == 0, F.lit(0)).otherwise(node.cast("int")))
-    entries = entries.withColumn("mask", F.explode(pairs)).withColumn("other", F.col("node").bitwiseXOR(F.col("mask")))
-    entries = entries.select("block", "value", F.least("node", "other").alias("low"), F.greatest("node", "other").alias("high"), (F.col("node") > F.col("other")).alias("second"), "fp")
+    zero = F.lit(0).cast("bigint")
+    entries = fps.select("fp", F.explode(parts).alias("x")).select("x.block", "x.value", F.lit(0).alias("depth"), zero.alias("low"), zero.alias("high"), F.lit(0).alias("second"), "fp")
+    bits = F.element_at(F.array(*(F.lit(64 - w) for _, w in blocks)), F.col("block") + 1) - F.col("depth")  # below the group's node
+    levels = F.least(F.lit(LEVELS), bits, F.ceil(F.log2(F.col("n") / most)) + 1).cast("int")
+    while True:  # ends at the last bit, where a pair of nodes has two keys
+        counts = entries.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), (F.max("second") - F.min("second") + 1).alias("sides"))
+        large, at = keep(counts.where((F.col("n") > most) & (bits > 0)).select(*KEY, levels.alias("levels"), "sides"), "roots", spark.sparkContext.defaultParallelism)
+        if large.isEmpty():
+            forget(spark, at)
+            break
+        entries = _dealt(entries, large, blocks, radius)
     starts = np.array([a for a, _ in blocks], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,17 +194,17 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = ROOT) -> DataFrame:
 
         def edges(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             shift = starts[group[0, 0]]
-            raw = group[:, 5].view(np.uint64) if group[:, 5].flags.c_contiguous else np.ascontiguousarray(group[:, 5]).view(np.uint64)
+            raw = np.ascontiguousarray(group[:, 6]).view(np.uint64)
             keys = (raw << shift) | (raw >> ((np.uint64(64) - shift) % np.uint64(64))) if shift else raw
-            order = np.lexsort((keys, group[:, 4]))
-            cut_at = int((group[:, 4] == 0).sum()) if group[0, 2] != group[0, 3] else None
+            order = np.lexsort((keys, group[:, 5]))
+            cut_at = int((group[:, 5] == 0).sum()) if group[0, 3] != group[0, 4] else None
             label = trie_components(keys[order], cut_at, radius)
             own = raw.view(np.int64)[order]
             moved = label != np.arange(len(label))
             return own[moved], own[label[moved]]
 
         def flush(rows: np.ndarray) -> pa.RecordBatch:
-            bounds = [0, *(np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1).tolist(), len(rows)]
+            bounds = [0, *(np.flatnonzero((rows[1:, :5] != rows[:-1, :5]).any(axis=1)) + 1).tolist(), len(rows)]
             found = [edges(rows[a:b]) for a, b in zip(bounds, bounds[1:]) if b - a > 1]
             cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (list(zip(*found)) or [[], []])]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
@@ -185,18 +212,17 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = ROOT) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(6)], axis=1)
+            rows = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
             # what belongs to the batch's last group waits for the next batch
-            tail = int(np.argmax((rows[:, :4] == rows[-1, :4]).all(axis=1)))
-            if tail or held and (held[-1][-1, :4] != rows[0, :4]).any():
+            tail = int(np.argmax((rows[:, :5] == rows[-1, :5]).all(axis=1)))
+            if tail or held and (held[-1][-1, :5] != rows[0, :5]).any():
                 yield flush(np.concatenate([*held, rows[:tail]]))
                 held = []
             held.append(rows[tail:])
         if held:
             yield flush(np.concatenate(held))
 
-    key = ["block", "value", "low", "high"]
-    return entries.repartition(*key).sortWithinPartitions(*key).withColumn("second", F.col("second").cast("int")).mapInArrow(run, "a bigint, b bigint").distinct()
+    return entries.repartition(*KEY).sortWithinPartitions(*KEY).select(*KEY, "second", "fp").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -57,7 +57,7 @@ def test_trie_against_all_pairs(monkeypatch, leaf):
     assert trie_components(keys).tolist() == labels(len(keys), zip(*np.nonzero(near)))
 
 
-@pytest.mark.parametrize("most", [1 << 16, 3])
+@pytest.mark.parametrize("most", [1 << 16, 3, 1])
 def test_links_connect_what_all_pairs_do(spark, most):
     keys = families(5, 60)
     near = np.bitwise_count(keys[:, None] ^ keys[None]) <= 4
