@@ -1,20 +1,24 @@
 """Line deduplication by winnowing.
 
-Lines are compared without blanks at their ends; lines without words count for nothing. A run is
-consecutive lines of at least ``MIN_WORDS`` words together. A line goes if it lies in a run that has
-occurred before: in the order of doc_id, then of lines. What overlaps its own first occurrence stays.
-
-Each smallest run from a line on is a window, whose minimum (the longest line, then the least hash)
-is its fingerprint: two places that share a run share a window in it, so they share its fingerprint.
-Positions are joined by fingerprint, which leaves the windows with one that occurs elsewhere too. From
-these a match is extended both ways: the smallest runs from each line on and up to each line are looked
-up by the hash of all their lines, and their union is the whole of each repeated run. A key's first
-occurrence is an aggregate, and later ones are joined to it alone, so no pairs within a group are made.
+A line is what a line end or the end of a sentence (``.``, ``!`` or ``?`` and a blank) parts, so that a passage
+inside a long line is found too. Lines are compared without white space of ASCII at their ends; lines
+without words count for nothing. A run is consecutive lines of at least ``MIN_WORDS`` words together. A line goes if
+it lies in a run that has occurred before: in the order of doc_id, then of lines. What overlaps its own
+first occurrence stays.
+
+Each smallest run from a line on is a window, whose minimum (the longest line, then the least hash) is
+selected: its hash is a fingerprint, and two places that share a run share one. Only selected lines are
+kept, each with the keys of the windows it stands for, and fingerprints that occur at one place alone go. From the
+places that are left matches are extended both ways: the windows around a place, from each line on and up to
+each line, are looked up by the hash of all their lines, and their union is the whole of each repeated
+run. A key's first occurrence is an aggregate, and later ones are joined to it alone, so no pairs within a
+group are made; both joins read exchanges that AQE can split where a key is common.
 
 Edge cases: null and empty texts have no lines to lose and stay as they are; a text that loses all its
 lines is empty; rows that repeat a doc_id and text are one document, and each gets its result; null
-doc_ids come first; an empty table gives an empty one. Further columns pass through untouched; names
-that start with ``_ld_`` are reserved.
+doc_ids come first; an empty table gives an empty one; a text of any length is taken whole, and nothing
+but a line's own windows is repeated per line. Further columns pass through untouched; names that start with
+``_ld_`` are reserved.
 """
 
 from __future__ import annotations
@@ -22,53 +26,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, table, text_or_empty
+from millrace.llm.common import forget, keep, table, text_or_empty
 
 MIN_WORDS = 50
+BLANKS = " \t\r\n\x0b\x0c"
+ENDS = r"(?<=\n)|(?<=[.!?][ \t])"
+
+
+def lines_of(text: Column) -> Column:
+    """The text in pieces, which put together are the text."""
+    return F.split(text, ENDS, -1)
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """row, doc_id, first and last line, fp, pos (its line) and key1, key2 (hashes of the lines) of each smallest run from a line on or up to a line."""
-    # outer explodes: otherwise Catalyst derives filters that work out the arrays once more
-    lines = F.transform(F.split(text_or_empty(), "\n", -1), lambda s, i: F.struct(i.alias("at"), F.xxhash64(F.trim(s)).alias("h"), F.when(F.trim(s) == "", 0).otherwise(F.size(F.split(F.trim(s), r"\s+"))).alias("n")))
+def places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """row, doc_id, fp and windows (first and last line, and key) of each selected line."""
+    lines = F.transform(lines_of(text_or_empty()), lambda s, i: F.struct(i.alias("at"), F.xxhash64(F.btrim(s, F.lit(BLANKS))).alias("h"), F.regexp_count(s, F.lit(r"[^ \t\r\n\x0B\f]+")).alias("n")))
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.filter(lines, lambda x: x.n > 0).alias("lines"))
     # of the longest line, cut off at 255 words, then the hash's lower bits
     order = F.transform("lines", lambda x: F.shiftleft((255 - F.least(x.n, F.lit(255))).cast("bigint"), 55).bitwiseOR(x.h.bitwiseAND((1 << 55) - 1)))
-    rows = rows.select("row", "doc_id", F.col("lines.at").alias("at"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n"), order.alias("order"))
-    grow = lambda acc, n: F.when(acc.words >= min_words, acc).otherwise(F.struct((acc.words + n).alias("words"), (acc.lines + 1).alias("lines")))
-    reach = lambda i: F.aggregate(F.slice("n", i + 1, min_words), F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines")), grow, lambda acc: F.when(acc.words >= min_words, i + acc.lines))
+    rows = rows.select("row", "doc_id", F.col("lines.at").alias("at"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n"), order.alias("ord"), F.size("lines").alias("k"))
     # for each line the end, exclusive, of the smallest run from it on; null where too few words follow
-    rows = rows.withColumn("ends", F.when(F.size("n") > 0, F.transform(F.sequence(F.lit(0), F.size("n") - 1), reach)))
-    runs = rows.select("*", F.posexplode_outer("ends").alias("a", "end")).where(F.col("end").isNotNull())
+    grow = f"(acc, x) -> if(acc.w >= {min_words}, acc, named_struct('w', acc.w + x, 'l', acc.l + 1))"
+    reach = f"aggregate(slice(n, i + 1, {min_words}), named_struct('w', 0, 'l', 0), {grow}, acc -> if(acc.w >= {min_words}, i + acc.l, null))"
+    rows = rows.where("k > 0").withColumn("ends", F.expr(f"transform(sequence(0, k - 1), i -> {reach})"))
+    # where the window's minimum is, the first of equal ones: it never goes back, so windows with one place are neighbours
+    rows = rows.withColumn("p", F.expr("transform(ends, (e, a) -> if(e is null, null, int(a + array_position(slice(ord, a + 1, e - a), array_min(slice(ord, a + 1, e - a))) - 1)))"))
     # a run up to a line ends before the next line's smallest run does
-    stop = F.greatest(F.col("end"), F.coalesce(F.get("ends", F.col("a") + 1) - 1, F.size("n")))
-    least = F.array_min(F.slice("order", F.col("a") + 1, F.col("end") - F.col("a")))
-    runs = runs.select("row", "doc_id", "at", "h", "order", "a", least.alias("fp"), F.explode_outer(F.sequence("end", stop)).alias("b"))
-    pos = F.get("at", (F.col("a") + F.array_position(F.slice("order", F.col("a") + 1, F.col("b") - F.col("a")), F.col("fp")) - 1).cast("int"))
-    held = F.slice("h", F.col("a") + 1, F.col("b") - F.col("a"))
-    return runs.select("row", "doc_id", F.get("at", F.col("a")).alias("first"), F.get("at", F.col("b") - 1).alias("last"), "fp", pos.alias("pos"), F.xxhash64(held).alias("key1"), F.xxhash64(F.lit("second"), held).alias("key2"))
+    around = "transform(sequence(get(ends, a), greatest(get(ends, a), coalesce(get(ends, a + 1) - 1, k))), b -> named_struct('first', get(at, a), 'last', get(at, b - 1), 'key', xxhash64(slice(h, a + 1, b - a))))"
+    windows = f"flatten(transform(filter(sequence(s, get(p, s)), a -> get(p, a) = get(p, s)), a -> {around}))"
+    selected = "filter(sequence(0, k - 1), s -> get(p, s) is not null and (s = 0 or get(p, s) <> get(p, s - 1)))"
+    found = F.expr(f"transform({selected}, s -> named_struct('fp', get(ord, get(p, s)), 'windows', {windows}))")
+    # outer: otherwise Catalyst derives filters that work out the arrays once more
+    return rows.select("row", "doc_id", found.alias("found")).select("row", "doc_id", F.explode_outer("found").alias("x")).where("x is not null").select("row", "doc_id", "x.fp", "x.windows")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """row, doc_id and ranges (array of first and last line) to delete, for each document with any."""
-    all_windows = cut(windows(docs, min_words))
-    place = F.struct("doc_id", "row", "pos")
-    shared = all_windows.groupBy("fp").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(~F.col("low").eqNullSafe(F.col("high"))).select("fp")
-    matches = all_windows.join(shared, "fp", "left_semi")
+    spark = docs.sparkSession
+    every, at_every = keep(places(docs, min_words), "places")
+    shared, at_shared = keep(every.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("fp"), "shared")
+    matches, at_matches = keep(every.join(shared, "fp", "left_semi").select("row", "doc_id", "fp", F.inline("windows")), "matches")
+    forget(spark, at_every, at_shared)
     here = F.struct("doc_id", "row", "first", "last")
-    original = matches.groupBy("key1", "key2").agg(F.min(here).alias("original"), F.max(here).alias("latest")).where(~F.col("original").eqNullSafe(F.col("latest"))).select("key1", "key2", "original")
-    later = matches.join(original, ["key1", "key2"]).where(~here.eqNullSafe(F.col("original")))
+    first = matches.groupBy("fp", "key").agg(F.min(here).alias("original"), F.max(here).alias("latest")).where(~F.col("original").eqNullSafe(F.col("latest"))).select("fp", "key", "original")
+    original, at_original = keep(first, "originals")
+    later = matches.join(original, ["fp", "key"]).where(~here.eqNullSafe(F.col("original")))
     same = (F.col("row") == F.col("original.row")) & F.col("doc_id").eqNullSafe(F.col("original.doc_id"))
     start = F.when(same, F.greatest("first", F.col("original.last") + 1)).otherwise(F.col("first"))
     ranges = later.select("row", "doc_id", start.alias("first"), "last").where("first <= last")
-    return ranges.groupBy("row", "doc_id").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    out, _ = keep(ranges.groupBy("row", "doc_id").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
+    forget(spark, at_matches, at_original)
+    return out
 
 
-def _kept(text: Column, ranges: Column) -> Column:
-    lines = F.split(text, "\n", -1)
+def _kept(lines: Column, ranges: Column) -> Column:
     gone = F.flatten(F.transform(ranges, lambda r: F.sequence(r.first, r.last)))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "")
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -76,15 +90,14 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     found = repeats(docs, min_words).select(F.col("row").alias("_ld_row"), F.col("doc_id").alias("_ld_id"), F.col("ranges").alias("_ld_ranges"))
     marked = docs.withColumn("_ld_key", F.xxhash64("doc_id", "text"))
     both = marked.join(found, (F.col("_ld_key") == F.col("_ld_row")) & F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left")
-    before = F.size(F.split("text", "\n", -1))
     gone = F.size(F.array_distinct(F.flatten(F.transform("_ld_ranges", lambda r: F.sequence(r.first, r.last)))))
-    lost = F.when(F.col("_ld_ranges").isNull(), 0).otherwise(F.least(gone, before)).cast("bigint")
-    text = F.when(F.col("_ld_ranges").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("_ld_ranges")))
+    lost = F.when(F.col("_ld_ranges").isNull(), 0).otherwise(gone).cast("bigint")
+    text = F.when(F.col("_ld_ranges").isNull(), F.col("text")).otherwise(_kept(lines_of(F.col("text")), F.col("_ld_ranges")))
     return both.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), lost.alias("_ld_deleted"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = drop_repeated_lines(docs)
-    left = F.when(text_or_empty() == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint")
+    left = F.when(text_or_empty() == "", 0).otherwise(F.size(lines_of(F.col("text")))).cast("bigint")
     return done.select("doc_id", F.col("_ld_deleted").alias("lines_deleted"), left.alias("lines_left"), F.sha2(text_or_empty().cast("binary"), 256).alias("text_sha256"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -16,14 +17,27 @@ def runs(counts, least):
     return out
 
 
+BLANK = " \t\r\n\x0b\x0c"
+
+
+def cut(text):
+    """Pieces that end at a line end, or at a full stop, an exclamation or a question mark and a blank."""
+    out, start = [], 0
+    for i in range(1, len(text) + 1):
+        if text[i - 1] == "\n" or i > 1 and text[i - 1] in " \t" and text[i - 2] in ".!?":
+            out.append(text[start:i])
+            start = i
+    return [*out, text[start:]]
+
+
 def brute(docs, least):
     """Any run of so many words that has occurred before goes, but for what overlaps its own first occurrence."""
     seen, gone = {}, {}
     every = []
     for d, text in sorted(docs):
-        lines = [(i, x.strip(" ")) for i, x in enumerate(text.split("\n"))]
-        lines = [(i, x) for i, x in lines if x.split()]
-        counts = [len(x.split()) for _, x in lines]
+        lines = [(i, x.strip(BLANK)) for i, x in enumerate(cut(text))]
+        lines = [(i, x) for i, x in lines if x]
+        counts = [len(re.findall(r"[^ \t\r\n\x0b\x0c]+", x)) for _, x in lines]
         for a, b in runs(counts, least):
             every.append((d, lines[a][0], lines[b][0], tuple(x for _, x in lines[a : b + 1])))
     for d, first, last, content in sorted(every, key=lambda x: x[:3]):
@@ -33,21 +47,23 @@ def brute(docs, least):
             o, end = seen[content]
             start = max(first, end + 1) if o == d else first
             gone.setdefault(d, set()).update(range(start, last + 1))
-    return {d: "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get(d, ())) for d, text in docs}
+    return {d: "".join(x for i, x in enumerate(cut(text)) if i not in gone.get(d, ())) for d, text in docs}
 
 
 def corpus(seed, n=40):
     rng = random.Random(seed)
     pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 3, 6, 12]))) for _ in range(25)]
+    pool += ["a b. c d! e", "f g?\th", "\t\t", "\r", "a\tb\r", "\u00a0 e\u00a0f"]
     passage = [" ".join(f"p{rng.randint(0, 99)}" for _ in range(k)) for k in (2, 5, 1, 9, 3)]
+    passage[3] = passage[3].replace(" ", ". ", 1)
     docs = []
     for d in range(n):
         lines = [rng.choice(pool + ["", "  "]) for _ in range(rng.randint(0, 12))]
         for _ in range(rng.randint(0, 2)):
             at = rng.randint(0, len(lines))
             lines[at:at] = passage[rng.randint(0, 1) :]
-        docs.append((d, "\n".join(lines)))
-    return docs + [(n, docs[3][1]), (n + 1, "q\n" * 40), (n + 2, "x y z\n" * 9)]
+        docs.append((d, rng.choice(["\n", "\r\n", "\n\t", ". "]).join(lines)))
+    return docs + [(n, docs[3][1]), (n + 1, "q\n" * 40), (n + 2, "x y z\n" * 9), (n + 3, "\t\n" * 30), (n + 4, "\t\n" * 30)]
 
 
 @pytest.mark.parametrize("seed, least", [(1, 10), (2, 15), (3, 4), (4, 1)])
@@ -75,3 +91,21 @@ def test_nulls_repeats_empty(spark, tmp_path):
     assert drop_repeated_lines(frame.limit(0)).count() == 0
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     assert op6_line_dedup(spark, str(tmp_path)).count() == len(rows)
+
+
+def test_wordless_lines_and_line_ends(spark):
+    passage = [" ".join(f"w{i}{k}" for k in range(15)) for i in range(4)]
+    docs = [(1, "\t\n" * 30), (2, "\t\n" * 30), (3, "\n".join(passage)), (4, "start\r\n" + "\t\r\n".join(passage) + "\r\nend"), (5, "Inside a line. " + ". ".join(passage) + ". And more of it.")]
+    docs += [(6, ". ".join(passage) + ". Last.")]
+    got = {r.doc_id: r for r in drop_repeated_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert all(got[i].text == docs[i - 1][1] and not got[i]._ld_deleted for i in (1, 2, 3, 5))
+    assert got[4].text == "start\r\nend" and got[6].text == "Last."
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(5)
+    lines = [" ".join(f"v{rng.randint(0, 999)}" for _ in range(rng.randint(1, 20))) for _ in range(20_000)]
+    passage = lines[7_000:7_040]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(["own", *passage, "too"])), (3, "\n".join(lines[:10_000] + ["between"] + lines[10_000:]))]
+    got = {r.doc_id: r for r in drop_repeated_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got[1].text == docs[0][1] and got[2].text == "own\ntoo" and got[3].text == "between\n"
