@@ -6,7 +6,10 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +94,28 @@ def read_vocabulary(path: str) -> bytes:
         raise ValueError(f"vocabulary file of {size} bytes; the bound is {MAX_VOCABULARY_BYTES}")
     with open(path, "rb") as f:
         return f.read()
+
+
+#: Bits of a filter of hashes: a bound on what it takes, whatever the number of hashes; a full one lets all pass.
+FILTER_BITS = 1 << 24
+
+
+def maybe_in(hashes: DataFrame) -> Callable[[Column], Column]:
+    """A test of bigint columns against the one column of ``hashes``: true for all that it has, seldom true for others."""
+    sc = hashes.sparkSession.sparkContext
+    at = lambda c, k: F.xxhash64(c, F.lit(k)).bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = hashes.select(F.explode(F.array(*(at(F.col(hashes.columns[0]), k) for k in (1, 2)))).alias("at"))
+    words = bits.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")).toArrow()
+    table_ = np.zeros(FILTER_BITS >> 6, np.uint64)
+    table_[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    shared = sc.broadcast(table_)
+
+    @F.pandas_udf("boolean")
+    def test(x: pd.Series, y: pd.Series) -> pd.Series:
+        found = True
+        for s in (x, y):
+            i = s.to_numpy(np.int64)
+            found = found & ((shared.value[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+        return pd.Series(found)
+
+    return lambda c: test(at(c, 1), at(c, 2))

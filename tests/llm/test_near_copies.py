@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from millrace.llm import near_copies
 from millrace.llm.near_copies import keep_one
 from tests.llm.test_simhash import labels
 
@@ -33,11 +35,22 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed, small", [(1, 32), (2, 3), (3, 1)])
-def test_against_all_pairs(spark, seed, small):
+@pytest.mark.parametrize("seed, more", [(1, {}), (2, {"small": 3}), (3, {"small": 1, "chunk": 5}), (4, {"every": 1, "hot": 2, "chunk": 7}), (5, {"every": 1, "hot": 3, "small": 2})])
+def test_against_all_pairs(spark, seed, more):
     rows = corpus(seed)
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as node", "'x' as label")
-    assert sorted(r.doc_id for r in keep_one(frame.repartition(3), small=small).collect()) == brute(rows)
+    assert sorted(r.doc_id for r in keep_one(frame.repartition(3), **more).collect()) == brute(rows)
+
+
+def test_tries_against_all_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    keys = np.sort(np.r_[rng.integers(0, 1 << 63, 300, dtype=np.uint64), np.uint64(7) << rng.integers(0, 60, 40, dtype=np.uint64)])
+    a, b, la, lb = keys[::2], np.sort(np.r_[keys[1::2], keys[:9]]), rng.integers(0, 4, 170), rng.integers(0, 4, 179)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero((np.bitwise_count(a[:, None] ^ b[None]) <= 20) & (la[:, None] != lb[None])))}
+    for leaf in (1, 40, 1 << 14):
+        monkeypatch.setattr(near_copies, "LEAF", leaf)
+        got = [(int(i), int(j)) for x, y in near_copies.near_pairs(a, b, la, lb, 20) for i, j in zip(x, y)]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_the_stage_drops_near_copies_beyond_four_bits(spark):
