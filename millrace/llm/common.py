@@ -48,14 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def keep(df: DataFrame, what: str, width: int | None = None) -> tuple[DataFrame, str]:
-    """``df`` as a written table in the shared folder, and its path for ``forget``; ``width`` bounds its files.
+    """``df`` as a written table in the shared folder, and its path for ``forget``.
 
-    What is read again has its true size for the planner, and no lineage. A file costs each executor some
-    processes on local file systems, so what is small should have few.
+    What is read again has its true size for the planner, and no lineage. The table has at most ``width`` files, two
+    per core unless given: every file costs an executor some forked processes where the folder is on a local file
+    system, and small files cost a store of objects as much as large ones.
     """
-    path = scratch(df.sparkSession, what)
-    (df.coalesce(width) if width else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    path = scratch(spark, what)
+    df.coalesce(width or 2 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def forget(spark: SparkSession, *paths: str) -> None:

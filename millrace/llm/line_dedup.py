@@ -1,7 +1,7 @@
 """Line deduplication by winnowing.
 
-A line is what a line end or the end of a sentence (``.``, ``!`` or ``?`` and a blank) parts, so that a passage
-inside a long line is found too. Lines are compared without white space of ASCII at their ends; lines
+A line is what a line end parts, or the end of a sentence (``.``, ``!`` or ``?`` and a blank, after
+``SENTENCE`` other characters), so that a passage inside a long line is found too. Lines are compared without white space of ASCII at their ends; lines
 without words count for nothing. A run is consecutive lines of at least ``MIN_WORDS`` words together. A line goes if
 it lies in a run that has occurred before: in the order of doc_id, then of lines. What overlaps its own
 first occurrence stays.
@@ -30,7 +30,9 @@ from millrace.llm.common import forget, keep, table, text_or_empty
 
 MIN_WORDS = 50
 BLANKS = " \t\r\n\x0b\x0c"
-ENDS = r"(?<=\n)|(?<=[.!?][ \t])"
+#: Sentences shorter than this belong to the next line, which keeps lines few.
+SENTENCE = 24
+ENDS = rf"(?<=\n)|(?<=[.!?][ \t])(?<=[^.!?\n]{{{SENTENCE}}}[.!?][ \t])"
 
 
 def lines_of(text: Column) -> Column:
@@ -44,17 +46,21 @@ def places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.filter(lines, lambda x: x.n > 0).alias("lines"))
     # of the longest line, cut off at 255 words, then the hash's lower bits
     order = F.transform("lines", lambda x: F.shiftleft((255 - F.least(x.n, F.lit(255))).cast("bigint"), 55).bitwiseOR(x.h.bitwiseAND((1 << 55) - 1)))
-    rows = rows.select("row", "doc_id", F.col("lines.at").alias("at"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n"), order.alias("ord"), F.size("lines").alias("k"))
-    # for each line the end, exclusive, of the smallest run from it on; null where too few words follow
-    grow = f"(acc, x) -> if(acc.w >= {min_words}, acc, named_struct('w', acc.w + x, 'l', acc.l + 1))"
-    reach = f"aggregate(slice(n, i + 1, {min_words}), named_struct('w', 0, 'l', 0), {grow}, acc -> if(acc.w >= {min_words}, i + acc.l, null))"
-    rows = rows.where("k > 0").withColumn("ends", F.expr(f"transform(sequence(0, k - 1), i -> {reach})"))
+    # by transform: Catalyst would put a plain field of the array into the lambdas below, and take it from all lines for each
+    part = lambda name: F.transform("lines", lambda x: x[name]).alias(name)
+    rows = rows.select("row", "doc_id", part("at"), part("h"), part("n"), order.alias("ord"), F.size("lines").alias("k"))
+    # for each line the end, exclusive, of the smallest run from it on; null where too few words follow. Lines are
+    # looked at eight at first, as that is seldom too few: words count below 1 << 16, lines above
+    grow = f"(x, y) -> if((x & 65535) >= {min_words}, x, x + least(y, {min_words}) + 65536)"
+    reach = f"aggregate(slice(n, i + 1, {{}}), 0, {grow}, x -> if((x & 65535) >= {min_words}, i + shiftright(x, 16), null))"
+    first = reach.format(min(8, min_words))
+    rows = rows.withColumn("ends", F.expr(f"transform(n, (_, i) -> coalesce({first}, {reach.format(min_words)}))" if min_words > 8 else f"transform(n, (_, i) -> {first})"))
     # where the window's minimum is, the first of equal ones: it never goes back, so windows with one place are neighbours
-    rows = rows.withColumn("p", F.expr("transform(ends, (e, a) -> if(e is null, null, int(a + array_position(slice(ord, a + 1, e - a), array_min(slice(ord, a + 1, e - a))) - 1)))"))
+    rows = rows.withColumn("p", F.expr("transform(ends, (e, a) -> if(e is null, null, a + int(transform(array(slice(ord, a + 1, e - a)), w -> array_position(w, array_min(w)))[0]) - 1))"))
     # a run up to a line ends before the next line's smallest run does
     around = "transform(sequence(get(ends, a), greatest(get(ends, a), coalesce(get(ends, a + 1) - 1, k))), b -> named_struct('first', get(at, a), 'last', get(at, b - 1), 'key', xxhash64(slice(h, a + 1, b - a))))"
     windows = f"flatten(transform(filter(sequence(s, get(p, s)), a -> get(p, a) = get(p, s)), a -> {around}))"
-    selected = "filter(sequence(0, k - 1), s -> get(p, s) is not null and (s = 0 or get(p, s) <> get(p, s - 1)))"
+    selected = "filter(transform(p, (x, s) -> if(x is null or s > 0 and x <=> get(p, s - 1), null, s)), s -> s is not null)"
     found = F.expr(f"transform({selected}, s -> named_struct('fp', get(ord, get(p, s)), 'windows', {windows}))")
     # outer: otherwise Catalyst derives filters that work out the arrays once more
     return rows.select("row", "doc_id", found.alias("found")).select("row", "doc_id", F.explode_outer("found").alias("x")).where("x is not null").select("row", "doc_id", "x.fp", "x.windows")
@@ -64,40 +70,37 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """row, doc_id and ranges (array of first and last line) to delete, for each document with any."""
     spark = docs.sparkSession
     every, at_every = keep(places(docs, min_words), "places")
-    shared, at_shared = keep(every.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("fp"), "shared")
+    width = spark.sparkContext.defaultParallelism
+    shared, at_shared = keep(every.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("fp"), "shared", width)
     matches, at_matches = keep(every.join(shared, "fp", "left_semi").select("row", "doc_id", "fp", F.inline("windows")), "matches")
     forget(spark, at_every, at_shared)
     here = F.struct("doc_id", "row", "first", "last")
     first = matches.groupBy("fp", "key").agg(F.min(here).alias("original"), F.max(here).alias("latest")).where(~F.col("original").eqNullSafe(F.col("latest"))).select("fp", "key", "original")
-    original, at_original = keep(first, "originals")
+    original, at_original = keep(first, "originals", width)
     later = matches.join(original, ["fp", "key"]).where(~here.eqNullSafe(F.col("original")))
     same = (F.col("row") == F.col("original.row")) & F.col("doc_id").eqNullSafe(F.col("original.doc_id"))
     start = F.when(same, F.greatest("first", F.col("original.last") + 1)).otherwise(F.col("first"))
     ranges = later.select("row", "doc_id", start.alias("first"), "last").where("first <= last")
-    out, _ = keep(ranges.groupBy("row", "doc_id").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
+    out, _ = keep(ranges.groupBy("row", "doc_id").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges", width)
     forget(spark, at_matches, at_original)
     return out
 
 
-def _kept(lines: Column, ranges: Column) -> Column:
-    gone = F.flatten(F.transform(ranges, lambda r: F.sequence(r.first, r.last)))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "")
-
-
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the shortened ``text``, and _ld_deleted, the number of lines that it lost."""
     found = repeats(docs, min_words).select(F.col("row").alias("_ld_row"), F.col("doc_id").alias("_ld_id"), F.col("ranges").alias("_ld_ranges"))
     marked = docs.withColumn("_ld_key", F.xxhash64("doc_id", "text"))
     both = marked.join(found, (F.col("_ld_key") == F.col("_ld_row")) & F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left")
-    gone = F.size(F.array_distinct(F.flatten(F.transform("_ld_ranges", lambda r: F.sequence(r.first, r.last)))))
-    lost = F.when(F.col("_ld_ranges").isNull(), 0).otherwise(gone).cast("bigint")
-    text = F.when(F.col("_ld_ranges").isNull(), F.col("text")).otherwise(_kept(lines_of(F.col("text")), F.col("_ld_ranges")))
+    untouched = F.col("_ld_ranges").isNull()
+    both = both.withColumn("_ld_lines", F.when(~untouched, lines_of(F.col("text"))))
+    gone = F.array_distinct(F.flatten(F.transform("_ld_ranges", lambda r: F.sequence(r.first, r.last))))
+    both = both.withColumn("_ld_stay", F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), gone))
+    text = F.when(untouched, F.col("text")).otherwise(F.array_join(F.transform("_ld_stay", lambda i: F.get("_ld_lines", i)), ""))
+    lost = F.when(untouched, 0).otherwise(F.size("_ld_lines") - F.size("_ld_stay")).cast("bigint")
     return both.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), lost.alias("_ld_deleted"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = drop_repeated_lines(docs)
-    left = F.when(text_or_empty() == "", 0).otherwise(F.size(lines_of(F.col("text")))).cast("bigint")
-    return done.select("doc_id", F.col("_ld_deleted").alias("lines_deleted"), left.alias("lines_left"), F.sha2(text_or_empty().cast("binary"), 256).alias("text_sha256"))
+    return done.select("doc_id", F.col("_ld_deleted").alias("lines_deleted"), F.length(text_or_empty()).cast("bigint").alias("chars_left"), F.sha2(text_or_empty().cast("binary"), 256).alias("text_sha256"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, forget, keep, table, text_or_empty
+from millrace.llm.common import forget, keep, table, text_or_empty
 from millrace.llm.components import components
 
 RADIUS, WORDS = 4, 4
@@ -227,7 +227,7 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = ROOT) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id column, text_hash, fp and component_id for each row."""
-    rows = cut(fingerprints(docs, id_col, text_col))
+    rows, _ = keep(fingerprints(docs, id_col, text_col), "fingerprints")
     least = rows.groupBy("fp").agg(F.min("id").alias("least"))
     label = components(links(rows.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
     own = least.join(label, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "least")

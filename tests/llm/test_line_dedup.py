@@ -21,10 +21,10 @@ BLANK = " \t\r\n\x0b\x0c"
 
 
 def cut(text):
-    """Pieces that end at a line end, or at a full stop, an exclamation or a question mark and a blank."""
+    """Pieces that end at a line end, or after a sentence of 24 characters, its full stop, exclamation or question mark and a blank."""
     out, start = [], 0
     for i in range(1, len(text) + 1):
-        if text[i - 1] == "\n" or i > 1 and text[i - 1] in " \t" and text[i - 2] in ".!?":
+        if text[i - 1] == "\n" or i > 25 and text[i - 1] in " \t" and text[i - 2] in ".!?" and not set(text[i - 26 : i - 2]) & set(".!?\n"):
             out.append(text[start:i])
             start = i
     return [*out, text[start:]]
@@ -53,9 +53,9 @@ def brute(docs, least):
 def corpus(seed, n=40):
     rng = random.Random(seed)
     pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 3, 6, 12]))) for _ in range(25)]
-    pool += ["a b. c d! e", "f g?\th", "\t\t", "\r", "a\tb\r", "\u00a0 e\u00a0f"]
+    pool += ["a b. c d! e", "f g?\th", "of so many characters it is a sentence. d e", "of so many characters this is one! d", "\t\t", "\r", "a\tb\r", "\u00a0 e\u00a0f"]
     passage = [" ".join(f"p{rng.randint(0, 99)}" for _ in range(k)) for k in (2, 5, 1, 9, 3)]
-    passage[3] = passage[3].replace(" ", ". ", 1)
+    passage[3] = passage[3].replace(" p", " long_enough_for_a_sentence. p", 2)
     docs = []
     for d in range(n):
         lines = [rng.choice(pool + ["", "  "]) for _ in range(rng.randint(0, 12))]
@@ -95,7 +95,7 @@ def test_nulls_repeats_empty(spark, tmp_path):
 
 def test_wordless_lines_and_line_ends(spark):
     passage = [" ".join(f"w{i}{k}" for k in range(15)) for i in range(4)]
-    docs = [(1, "\t\n" * 30), (2, "\t\n" * 30), (3, "\n".join(passage)), (4, "start\r\n" + "\t\r\n".join(passage) + "\r\nend"), (5, "Inside a line. " + ". ".join(passage) + ". And more of it.")]
+    docs = [(1, "\t\n" * 30), (2, "\t\n" * 30), (3, "\n".join(passage)), (4, "start\r\n" + "\t\r\n".join(passage) + "\r\nend"), (5, "Inside a line that is long enough. " + ". ".join(passage) + ". And more of it.")]
     docs += [(6, ". ".join(passage) + ". Last.")]
     got = {r.doc_id: r for r in drop_repeated_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert all(got[i].text == docs[i - 1][1] and not got[i]._ld_deleted for i in (1, 2, 3, 5))
