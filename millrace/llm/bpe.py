@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import public_vocabulary, read_vocabulary, table, text_or_empty
+from millrace.llm.common import bound_batches, public_vocabulary, read_vocabulary, table, text_or_empty
 
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Letters and numbers of Unicode 17, which the tokenizers library's expressions (Unicode 16) don't know as such.
@@ -215,6 +215,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     ``ids`` is an array of integers, or with ``packed`` the same as little-endian unsigned 32-bit binary.
     A row-wise operator: no shuffle, one Arrow batch in memory at a time.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary or public_vocabulary("word_bpe_49k.json")))
     source = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()

@@ -47,6 +47,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of rows that go to a Python worker at a time, more or less.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of whole texts for Python workers hold ``BATCH_BYTES``, unless the session has another size than Spark's own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("", "64MB", "67108864b"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def keep(df: DataFrame, what: str, width: int | None = None) -> tuple[DataFrame, str]:
     """``df`` as a written table in the shared folder, and its path for ``forget``.
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import forget, keep, maybe_in, text_or_empty
+from millrace.llm.common import bound_batches, forget, keep, maybe_in, text_or_empty
 from millrace.llm.components import components
 
 WORDS, SIMILARITY, BUDGET = 5, 0.8, 23
@@ -196,6 +196,7 @@ class _Search:
 
     def __init__(self, docs: DataFrame, at_least: float, small: int, every: int, hot: int, chunk: int):
         self.spark, self.at_least, self.small, self.every, self.hot, self.chunk = docs.sparkSession, at_least, small, every, hot, chunk
+        bound_batches(self.spark)
         self.texts = docs.select(text_or_empty().alias("t")).select(_node(F.col("t")).alias("node"), F.col("t").cast("binary").alias("text"))
         self.width = self.spark.sparkContext.defaultParallelism
 

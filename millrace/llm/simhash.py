@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import forget, keep, table, text_or_empty
+from millrace.llm.common import bound_batches, forget, keep, table, text_or_empty
 from millrace.llm.components import components
 
 RADIUS, WORDS = 4, 4
@@ -54,6 +54,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_hash and fp (the fingerprint as a signed integer) for each row."""
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     source = source.select("id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
 

@@ -1,22 +1,24 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on words of labelled texts. The ordinary one holds the words of
-ordinary texts by the number of texts that have them; the toxic one holds what toxic texts are made of:
-the same words, and before them those that occur in toxic texts ``LIFT`` times as often. A text is cut
-into windows of ``WINDOW`` words. What the toxic dictionary saves on a window, in bytes of compressed
-length, is its gain; a logistic model calibrated on texts that neither dictionary has seen turns a
-text's gains (the two greatest, the sum of those of 3 bytes or more, the number of windows, the shares of
+Two zstandard dictionaries are trained, one on toxic and one on ordinary texts, by a cover selection whose segments are
+words with the blank before them: a segment covers what it has in as many texts as have it. Of either class's texts the
+dictionary takes the segments that occur in a larger share of them than of the other class's, by ``ERRORS`` standard errors at
+least, the largest difference first; and nearest to the text, where matches cost least, the segments that both classes
+have, the commonest first. Prose therefore costs about the same under both, and what differs is what the classes
+differ in. A text is cut into windows of ``WINDOW`` words. The compressed length of a window under the ordinary dictionary less
+that under the toxic one is its gain; a logistic model calibrated on texts that neither dictionary has
+seen turns a text's gains (the two greatest, the sum of those of 3 bytes or more, the number of windows, the shares of
 windows with gains of 1 and of 3 bytes or more, and the mean) into a score, shifted so that 0.5 is the threshold of greatest F1.
 
 Fitting takes at most ``SAMPLE`` labelled rows, those with the least hashes of doc_id, so they can be
-broadcast to the documents; dictionaries hold at most ``TOXIC_WORDS`` and ``ORDINARY_WORDS`` words of 40
-characters at most. Of the rows, crc32(doc_id) mod 5 picks folds: 0 is never used, 4 calibrates,
-the rest trains.
+broadcast to the documents; a dictionary has at most ``OWN_BYTES`` and ``SHARED_BYTES``. Any word of any length can be
+a segment. Of the rows, crc32(doc_id) mod 5 picks folds: 0 is never used, 4 calibrates and the rest trains; where that
+leaves either without both classes, another fold calibrates, or all train and calibrate.
 
 Edge cases: null and empty texts have one empty window; texts of any length are scored whole; a row
 without a label takes no part in fitting; of conflicting labels toxic wins; without labels of both
 classes each score is 0; equal texts get equal scores, whatever their other columns; an empty
-table gives an empty one.
+table gives an empty one; other columns can have any name but those that start with ``_tx_``.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, table, text_or_empty
+from millrace.llm.common import bound_batches, forget, keep, table, text_or_empty
 
-SAMPLE, TOXIC_WORDS, ORDINARY_WORDS = 50_000, 20_000, 200_000
-WINDOW, LIFT, LEAST_TOXIC, LEAST_ORDINARY = 32, 8.0, 4, 3
+SAMPLE, OWN_BYTES, SHARED_BYTES = 50_000, 1 << 18, 1 << 20
+WINDOW, ERRORS = 16, 3.0
 _WORD = re.compile(r"[^\W_]+")
 FEATURES = 7
 
@@ -46,7 +48,7 @@ class Compressor:
     """Compressed lengths of windows under a dictionary of raw content."""
 
     def __init__(self, content: bytes):
-        params = zstandard.ZstdCompressionParameters(window_log=22, chain_log=21, hash_log=21, search_log=8, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False)
+        params = zstandard.ZstdCompressionParameters(window_log=22, chain_log=20, hash_log=20, search_log=7, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False)
         words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         words.precompute_compress(compression_params=params)
         self.compress = zstandard.ZstdCompressor(compression_params=params, dict_data=words).compress
@@ -55,9 +57,9 @@ class Compressor:
         return len(self.compress(window))
 
 
-def content(words: list[str]) -> bytes:
-    """The words, the first ones last: what is nearest to the text costs least."""
-    return "".join(f" {w}" for w in reversed(words)).encode() + b" "
+def content(own: list[str], shared: list[str]) -> bytes:
+    """Segments, the first ones last: what is nearest to the text costs least."""
+    return "".join(f" {w}" for w in [*reversed(own), *reversed(shared)]).encode() + b" "
 
 
 def features(text: str, ordinary: Compressor, toxic: Compressor) -> list[float]:
@@ -82,7 +84,7 @@ class Model:
 
     def features(self, texts: list[str]) -> np.ndarray:
         if self._ready is None:
-            self._ready = Compressor(self.ordinary), Compressor(self.toxic + self.ordinary)
+            self._ready = Compressor(self.ordinary), Compressor(self.toxic)
         return np.array([features(t, *self._ready) for t in texts], float).reshape(-1, FEATURES)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
@@ -113,38 +115,60 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _first(words: DataFrame, by: Column, size: int) -> list[str]:
+    """The words with the greatest ``by``, as many as ``size`` bytes hold."""
+    ordered = words.orderBy(F.desc(by), "word")
+    lengths = ordered.limit(size // 2).select(F.octet_length("word").alias("n")).toArrow().column(0).to_numpy()
+    return ordered.limit(int((np.cumsum(lengths + 1) <= size).sum())).select("word").toArrow().column(0).to_pylist()
+
+
+def _calibration_fold(by_class: dict[tuple[int, int], int]) -> int | None:
+    """The last fold that has both classes and leaves both to the others; None if none does."""
+    both = lambda folds: all(sum(by_class.get((f, c), 0) for f in folds) for c in (0, 1))
+    return next((k for k in (4, 3, 2, 1) if both([k]) and both({1, 2, 3, 4} - {k})), None)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
+    bound_batches(spark)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic", fold(F.col("doc_id")).alias("fold"))
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & (F.length(w) <= 40)))
-    each = rows.where("fold < 4").select("toxic", F.explode_outer(words).alias("word")).where("word is not null")
-    counts = cut(each.groupBy("word").agg(F.sum(F.col("toxic").cast("bigint")).alias("t"), F.count(F.lit(1)).alias("n")).where(f"t >= {LEAST_TOXIC} or n - t >= {LEAST_ORDINARY}"))
-    by_class = {r.toxic: r.n for r in sample.where(fold(F.col("doc_id")) < 4).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_ordinary = by_class.get(1, 0), by_class.get(0, 0)
-    if not n_toxic or not n_ordinary:
+    sample, at_sample = keep(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "labelled")
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
+    rows, at_rows = keep(found.select("text", F.col("toxic").cast("int").alias("toxic"), fold(F.col("doc_id")).cast("int").alias("fold")), "examples")
+    by_class = {(r.fold, r.toxic): r.n for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # eight at most
+    n = {c: sum(k for (_, x), k in by_class.items() if x == c) for c in (0, 1)}
+    if not n[0] or not n[1]:
+        forget(spark, at_sample, at_rows)
         return Model(b"", b"")
-    ratio = (F.col("t") + 0.5) / (n_toxic + 1) / ((F.col("n") - F.col("t") + 0.5) / (n_ordinary + 1))
-    is_toxic = (ratio >= LIFT) & (F.col("t") >= LEAST_TOXIC) & (F.length("word") >= 4)
-    top = lambda rows, by, most: rows.orderBy(F.desc(by), "word").limit(most).select("word").toArrow().column(0).to_pylist()
-    model = Model(content(top(counts.where(~is_toxic).withColumn("o", F.col("n") - F.col("t")).where(f"o >= {LEAST_ORDINARY}"), "o", ORDINARY_WORDS)), content(top(counts.where(is_toxic), "t", TOXIC_WORDS)))
-    shared = spark.sparkContext.broadcast(model)
+    last = _calibration_fold(by_class)
+    if last is not None:
+        n = {c: n[c] - by_class.get((last, c), 0) for c in (0, 1)}
+    train, held = (rows, rows) if last is None else (rows.where(F.col("fold") != last), rows.where(F.col("fold") == last))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    each = train.select("toxic", F.explode_outer(words).alias("word")).where("word is not null")
+    share = each.groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("k")).select("word", (F.col("t") / n[1]).alias("p"), ((F.col("k") - F.col("t")) / n[0]).alias("q"), "k")
+    error = lambda of, na, other, nb: F.sqrt(F.col(of) / na + (F.col(other) + 1 / nb) / nb)
+    more = (F.col("p") - F.col("q")) / error("p", n[1], "q", n[0]), (F.col("q") - F.col("p")) / error("q", n[0], "p", n[1])
+    side = F.when(more[0] > ERRORS, "toxic").when(more[1] > ERRORS, "ordinary").when(F.col("k") >= 3, "shared")
+    share, at_share = keep(share.withColumn("side", side).where("side is not null"), "segments")
+    shared = _first(share.where("side = 'shared'"), F.col("k"), SHARED_BYTES)
+    own = {s: _first(share.where(F.col("side") == s), F.abs(F.col("p") - F.col("q")), OWN_BYTES) for s in ("ordinary", "toxic")}
+    model = Model(content(own["ordinary"], shared), content(own["toxic"], shared))
+    sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(list(shared.value.features(texts.tolist())), dtype=object)
+            yield pd.Series(list(sent.value.features(texts.tolist())), dtype=object)
 
-    found = rows.where("fold = 4").select("toxic", measured("text").alias("x")).toArrow()  # a fifth of SAMPLE at most
-    y = np.array(found.column(0).to_pylist(), float)
-    if not 0 < y.sum() < len(y):
-        return Model(b"", b"")
-    model.calibrate(np.array(found.column(1).to_pylist(), float), y)
+    got = held.select("toxic", measured("text").alias("x")).toArrow()  # numbers of SAMPLE rows at most
+    model.calibrate(np.array(got.column(1).to_pylist(), float), np.array(got.column(0).to_pylist(), float))
+    forget(spark, at_sample, at_rows, at_share)
     return model
 
 
 def scores(model: Model, spark: SparkSession, text: Column) -> Column:
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -158,8 +182,8 @@ def scores(model: Model, spark: SparkSession, text: Column) -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those whose score is 0.5 or more."""
     model = fit(docs, labels)
-    marked = docs.withColumn("_toxicity", scores(model, docs.sparkSession, text_or_empty()))
-    return marked.where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    marked = docs.withColumn("_tx_score", scores(model, docs.sparkSession, text_or_empty()))
+    return marked.where(F.col("_tx_score") < 0.5).drop("_tx_score")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
