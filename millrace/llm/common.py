@@ -54,7 +54,7 @@ BATCH_BYTES = 8 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Batches of whole texts for Python workers hold ``BATCH_BYTES``, unless the session has another size than Spark's own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("", "64MB", "67108864b"):
+    if spark.conf.get(key) in ("64MB", "67108864b"):
         spark.conf.set(key, str(BATCH_BYTES))
 
 
