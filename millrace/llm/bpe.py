@@ -112,15 +112,16 @@ class Bpe:
         self.known_pieces = _Chunks(self.piece_ids)
         self.known_chunks = _Chunks(lambda chunk: b"".join(map(self.known_pieces.__getitem__, self.pieces(chunk))))
 
-    def merge(self, symbols: list[int]) -> list[int]:
-        """Symbols after all merges, lowest rank first and leftmost first among equals.
+    def merge(self, symbols: list[int]) -> int:
+        """Does all merges, lowest rank first and leftmost first among equals, and gives their number; -1 stands for what has gone.
 
         A queue entry is one integer, the rank above the position of the left symbol.
         """
+        done = 0
         n, rank_of, merges = len(symbols), self.rank_of.get, self.merges
         queue = [rank << 32 | i for i in range(n - 1) if (rank := rank_of(symbols[i] << 32 | symbols[i + 1])) is not None]
         if not queue:
-            return symbols
+            return 0
         heapify(queue)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
@@ -132,6 +133,7 @@ class Bpe:
                 continue  # stale: one of the two has been merged meanwhile
             symbols[i] = both
             symbols[j] = -1
+            done += 1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
@@ -139,12 +141,20 @@ class Bpe:
                     heappush(queue, rank << 32 | i)
             if (h := before[i]) >= 0 and (rank := rank_of(symbols[h] << 32 | both)) is not None:
                 heappush(queue, rank << 32 | h)
-        return [s for s in symbols if s >= 0]
+        return done
 
-    def piece_ids(self, piece: str) -> bytes:
+    def symbols(self, piece: str) -> list[int]:
         data = piece.encode()
-        symbols = [*map(self.first_ids.__getitem__, data[:-1]), self.last_ids[data[-1]]]
-        return array("I", self.merge(symbols)).tobytes()
+        return [*map(self.first_ids.__getitem__, data[:-1]), self.last_ids[data[-1]]]
+
+    def piece_ids(self, piece: str) -> bytes:
+        symbols = self.symbols(piece)
+        return array("I", [s for s in symbols if s >= 0] if self.merge(symbols) else symbols).tobytes()
+
+    def piece_count(self, piece: str) -> int:
+        """Number of the piece's tokens."""
+        symbols = self.symbols(piece)
+        return len(symbols) - self.merge(symbols)
 
     def pieces(self, chunk: str) -> list[str]:
         if not self.by_words:

@@ -1,10 +1,10 @@
 """Token counts without ids.
 
 Pieces are counted once per distinct pre-token and joined to the documents' pre-token frequencies;
-only numbers are summed, no ids are made. The commonest pre-tokens (at most ``HOT``, of at most
+only numbers are summed, no ids are made. The commonest pre-tokens of one text in ``EVERY`` (at most ``HOT``, of at most
 ``HOT_BYTES`` bytes each, so the broadcast is bounded) are counted beforehand and summed where the
-document is read; the others are dealt out by pre-token, sorted so that each is counted once in
-bounded memory, and their sums go back to their documents. Which pre-tokens are common changes the
+document is read; the others' frequencies are written, their distinct pre-tokens counted, and the two joined by exchanges
+that AQE can split where one pre-token is in very many documents. Which pre-tokens are common changes the
 cost alone, never a result: the commonest of each task compete for the places.
 
 Edge cases: a null text counts as empty, with 0 bytes and 0 tokens; special strings inside a text
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import WHITE, Bpe, _Chunks, loaded
-from millrace.llm.common import public_vocabulary, read_vocabulary, table, text_or_empty
+from millrace.llm.common import bound_batches, keep, public_vocabulary, read_vocabulary, table, text_or_empty
 
-HOT, HOT_BYTES = 1 << 19, 64
+HOT, HOT_BYTES, EVERY = 1 << 19, 64, 8
 #: Distinct words a task keeps while it looks for common ones, and how many of them it reports.
 SEEN, REPORTED = 1 << 20, 1 << 17
 _SPACE = frozenset(c for c in map(chr, range(0x3001)) if regex.fullmatch(f"[{WHITE}\x1c-\x1f]", c))
@@ -115,15 +115,17 @@ def common_pre_tokens(docs: DataFrame, codec_data, hot: int) -> dict[str, int]:
     totals = docs.mapInArrow(run, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
     best = totals.orderBy(F.desc("n"), "piece").limit(hot).select("piece").toArrow()
     codec = loaded(codec_data.value)
-    return {p: len(codec.piece_ids(p)) // 4 for p in best.column(0).to_pylist()}
+    return {p: codec.piece_count(p) for p in best.column(0).to_pylist()}
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Per row: the id column, ``n_bytes`` and ``n_tokens``."""
     sc = docs.sparkSession.sparkContext
+    bound_batches(docs.sparkSession)
     codec_data = sc.broadcast(read_vocabulary(vocabulary or public_vocabulary("byte_bpe_50k.json")))
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    common = sc.broadcast(common_pre_tokens(source.select("text"), codec_data, hot))
+    some = source.where(F.pmod(F.xxhash64("text"), F.lit(EVERY)) == 0).select("text")
+    common = sc.broadcast(common_pre_tokens(some, codec_data, hot))
     id_type = source.schema["id"].dataType.simpleString()
     names = ["id", "key", "n_bytes", "rows", "total", "piece", "n"]
     schema = f"id {id_type}, key bigint, n_bytes bigint, rows bigint, total bigint, piece string, n bigint"
@@ -148,22 +150,16 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the tokens of each pre-token; equal ones are neighbours."""
-        codec, last, tokens = loaded(codec_data.value), None, 0
+        codec = loaded(codec_data.value)
         for batch in batches:
-            totals = batch.column(4).to_pylist()
-            pieces, times = batch.column(5).to_pylist(), batch.column(6).to_pylist()
-            for i, p in enumerate(pieces):
-                if p is not None:
-                    if p != last:
-                        last, tokens = p, len(codec.piece_ids(p)) // 4
-                    totals[i] = tokens * times[i]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(totals, pa.int64())], names[:5])
-
-    dealt = source.select("id", F.xxhash64("text").alias("key"), "text").mapInArrow(frequencies, schema)
-    dealt = dealt.repartition(F.coalesce(F.xxhash64("piece"), F.lit(0)) + F.when(F.col("piece").isNull(), F.col("key")).otherwise(0)).sortWithinPartitions("piece")
-    counted = dealt.mapInArrow(count, f"id {id_type}, key bigint, n_bytes bigint, rows bigint, total bigint")
-    sums = counted.groupBy("id", "key").agg(F.max("n_bytes").alias("n_bytes"), F.sum("rows").alias("rows"), F.sum("total").alias("total"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(codec.piece_count, batch.column(0).to_pylist()), pa.int64())], ["piece", "tokens"])
+
+    found, _ = keep(source.select("id", F.xxhash64("text").alias("key"), "text").mapInArrow(frequencies, schema), "frequencies")
+    others = found.where("piece is not null")
+    tokens = others.select("piece").distinct().mapInArrow(count, "piece string, tokens bigint")
+    zero = F.lit(0).cast("bigint")
+    joined = others.join(tokens, "piece").select("id", "key", zero.alias("n_bytes"), zero.alias("rows"), (F.col("n") * F.col("tokens")).alias("total"))
+    sums = found.where("piece is null").select("id", "key", "n_bytes", "rows", "total").unionByName(joined).groupBy("id", "key").agg(F.max("n_bytes").alias("n_bytes"), F.sum("rows").alias("rows"), F.sum("total").alias("total"))
     out = sums.select("id", "n_bytes", F.expr("total div rows").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_")).drop("_")
     return out.withColumnRenamed("id", id_col)
 
