@@ -19,7 +19,7 @@ from millrace.functions.table import Env, Settings, Typed, lower
 from millrace.operators import ordered, prev
 from millrace.plans.lexer import Token, split_commas, tokens
 from millrace.plans.parser import Node, parse
-from millrace.session import child
+from millrace.session import child, cut, moved
 from millrace.types import SPARK, TEXTUAL, default, enter, from_text, key, split_heading, to_text
 
 HIDDEN = "__o"
@@ -44,6 +44,7 @@ class Flow:
     @staticmethod
     def of(df: DataFrame, order_by: list[str] | None = None, settings: Settings | None = None) -> Flow:
         """Of any DataFrame: columns are widened to the seven types, others left out. ``order_by`` declares a unique key as the order of rows."""
+        df = moved(df)
         cols, tags = enter(df)
         hidden = [F.col(f"`{c}`").alias(f"{HIDDEN}{i}") for i, c in enumerate(order_by or ())]
         return Flow(df.select(*cols, *hidden), tags, tuple((f"{HIDDEN}{i}", True) for i in range(len(hidden))), settings=settings or Settings())
@@ -196,7 +197,7 @@ class Flow:
             waiting = rest
         rows = ordered.ranged(self.rows, list(self.order))
         before = ordered.carried(rows, {"n": F.count(F.lit(1))}, lambda c, r: c + r.n, 0)
-        rows = rows.withColumn("__rownum", F.col(ordered.AT) + ordered.offset(before, "long"))
+        rows = ordered.offset(rows, before, "long", "__before").withColumn("__rownum", F.col(ordered.AT) + F.col("__before")).drop("__before")
         env, done = self._env("__rownum"), {}
         for e, tag, name in parsed:
             if not prev.refers(e):
@@ -205,11 +206,15 @@ class Flow:
         left = [p for p in parsed if p[2] not in done]
         for e, tag, name in left:
             found = prev.recurrence(e, name)
-            if found and tag in (None, tags[name]) and tags[name] in ("int", "uint", "double") and (found[0] == "sum" or tags[name] != "uint"):
+            if found and tag in (None, tags[name]) and tags[name] in ("int", "uint", "double"):
                 own = lower(found[1], env)
                 if own.tag == tags[name]:
-                    rows = rows.withColumn("__own", own.col)
-                    rows = ordered.running(rows, "__own", found[0], 0.0 if own.tag == "double" else 0, f"__out_{name}").drop("__own")
+                    # the greatest and least of uints go by what they are compared by
+                    turned = own.tag == "uint" and found[0] != "sum"
+                    rows = rows.withColumn("__own", key(own.col, "uint") if turned else own.col)
+                    rows = ordered.running(rows, "__own", found[0], 0.0 if own.tag == "double" else -(1 << 63) if turned else 0, f"__out_{name}").drop("__own")
+                    if turned:
+                        rows = rows.withColumn(f"__out_{name}", key(F.col(f"__out_{name}"), "uint"))
                     done[name] = f"__out_{name}"
         left = [p for p in parsed if p[2] not in done]
         if all({split_heading(h)[1] for h in prev.refers(e)} <= set(done) for e, _, _ in left):
@@ -234,20 +239,29 @@ class Flow:
 
         schema = T.StructType([*(T.StructField(n, SPARK[tags[n]]) for _, _, n in parsed), *(self.rows.schema[o] for o, _ in self.order)])
         hidden, start = [o for o, _ in self.order], {n: DEFAULTS[tags[n]] for _, _, n in parsed}
+        made = []  # types are known and functions found before a job runs
+        for e, tag, name in parsed:
+            act, found = prev.compiled(e, self.tags, tags)
+            if tag not in (None, found) and not (tag in TEXTUAL and found in TEXTUAL or {tag, found} == {"int", "uint"}):
+                raise PipelineError(f"{name!r} is {found}; with prev it can't become {tag}", "rel.select")
+            made.append((name, act))
+        columns = [*self.tags, *hidden]
 
         def run(batches):
             import pandas as pd
 
             previous, number = dict(start), 0
             for batch in batches:
-                out = []
-                for row in batch.to_dict("records"):
+                out: list[list] = [[] for _ in made]
+                for values in zip(*(batch[c].tolist() for c in columns)):
+                    row = dict(zip(columns, values))
                     number += 1
-                    previous = {n: prev.evaluate(e, row, previous, number) for e, _, n in parsed}
-                    out.append({**previous, **{o: row[o] for o in hidden}})
-                yield pd.DataFrame(out, columns=schema.names)
+                    previous = {n: act(row, previous, number) for n, act in made}
+                    for held, v in zip(out, previous.values()):
+                        held.append(v)
+                yield pd.DataFrame({**{n: pd.Series(v, dtype=object) for (n, _), v in zip(made, out)}, **{o: batch[o] for o in hidden}}, columns=schema.names)
 
-        one = self.rows.repartition(1).sortWithinPartitions(*ordered.directed(list(self.order)))
+        one = self.rows.select(*map(_column, columns)).repartition(1).sortWithinPartitions(*ordered.directed(list(self.order)))
         return replace(self, rows=one.mapInPandas(run, schema), tags={n: tags[n] for _, _, n in parsed})
 
     def assert_empty(self) -> Flow:
@@ -358,8 +372,6 @@ class Flow:
         if first is None:
             raise PipelineError("the right side is empty", "rel.join.consistent_hash")
         both = right.unionByName(left).withColumn("__turn", F.when(F.col("__right").isNotNull(), 0).otherwise(1))
-        from millrace.session import cut
-
         rows = ordered.ranged(cut(both), [("__point", False), ("__turn", True)])
         kind = right.schema["__right"].dataType
         rows = ordered.last_marked(rows, F.to_json("__right"), "__found", "string").where("__left is not null")
@@ -394,6 +406,8 @@ class Flow:
         if aggregate == "avg":
             mean = F.call_function("div", F.sum(c), F.count(F.lit(1))) if whole else F.avg(c)
             return self._grouped(keys, {"_avg": (mean, tag)})
+        if aggregate == "median" and tag != "double":
+            return self._counted_median(keys, name)
         if aggregate == "median":
             return self._grouped(keys, {"_median": (self._median(c, tag), tag)})
         extreme = (F.min if aggregate == "min" else F.max)(key(c, tag))
@@ -405,9 +419,25 @@ class Flow:
         """The lower one: of n values the one at half of n, rounded up."""
         if tag == "double":
             return F.expr(f"percentile_disc(0.5) within group (order by {c._jc.toString() if hasattr(c, '_jc') else c})")
-        # a number for each distinct value would lose bits beyond 2**53, so whole values are sorted
-        values = F.sort_array(F.collect_list(F.struct(key(c, tag).alias("k"), c.alias("v"))))
-        return F.get(values, F.ceil(F.size(values) / 2).cast("int") - 1)["v"]
+        raise AssertionError(tag)  # whole values are counted
+
+    def _counted_median(self, keys: list[str], name: str) -> Flow:
+        """The lower median of whole values: distinct ones are counted, and the counts summed up in order, so no group's values are held."""
+        from pyspark.sql import Window as W
+
+        tag = self.tags[name]
+        by = [key(_column(k), self.tags[k]).alias(f"__g{i}") for i, k in enumerate(keys)] or [F.lit(1).alias("__g0")]
+        shown = [F.min(_column(k)).alias(f"__s{i}") for i, k in enumerate(keys) if self.tags[k] == "ipaddress"]
+        groups = [f"__g{i}" for i in range(len(by))]
+        counts = self.rows.groupBy(*by, key(_column(name), tag).alias("__v")).agg(F.count(F.lit(1)).alias("__n"), F.min(_column(name)).alias("__x"), *shown)
+        order = W.partitionBy(*groups).orderBy("__v")
+        upto = counts.withColumn("__upto", F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        total = counts.groupBy(*groups).agg(F.sum("__n").alias("__all"))
+        # the first value by which half of all, rounded up, is reached; groups are few beside values
+        picked = upto.join(total, groups).where("__upto * 2 >= __all and (__upto - __n) * 2 < __all")
+        cols = [(F.col(f"__s{i}") if self.tags[k] == "ipaddress" else key(F.col(f"__g{i}"), self.tags[k])).alias(k) for i, k in enumerate(keys)]
+        value = F.col("__x") if tag in ("ipaddress", "istring") else key(F.col("__v"), tag)
+        return replace(self, rows=picked.select(*cols, value.alias("_median")), tags={**{k: self.tags[k] for k in keys}, "_median": tag}, order=(), sorted=False)
 
     def _grouped(self, keys: list[str], out: dict[str, tuple[Column, str]]) -> Flow:
         by = [key(_column(k), self.tags[k]).alias(f"__g{i}") for i, k in enumerate(keys)]
@@ -462,6 +492,22 @@ class Flow:
         first = rows.groupBy(*by).agg(F.min_by(F.struct(*map(_column, cols)), "__rownum").alias("x"))
         return replace(self, rows=first.select("x.*"))
 
+    def followed_by(self, *others: Flow) -> Flow:
+        """All rows of this flow, then those of the others, each in its own order; an order that one of them lacks, none has."""
+        flows = [self, *others]
+        if any(f.tags != self.tags for f in flows):
+            raise PipelineError("the headings differ", "io.file.read")
+        if not all(f.order for f in flows) or any(not up for f in flows for _, up in f.order) or any([f.rows.schema[o].dataType for o, _ in f.order] != [self.rows.schema[o].dataType for o, _ in self.order] for f in flows):
+            out = self
+            for f in others:
+                out = out.union(f)
+            return out
+        parts = [f.rows.select(*map(_column, self.tags), F.lit(i).alias(f"{HIDDEN}0"), *(F.col(o).alias(f"{HIDDEN}{k + 1}") for k, (o, _) in enumerate(f.order))) for i, f in enumerate(flows)]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        return replace(self, rows=rows, order=tuple((f"{HIDDEN}{k}", True) for k in range(len(self.order) + 1)), sorted=False)
+
     def union(self, other: Flow) -> Flow:
         if self.tags != other.tags:
             raise PipelineError("the headings differ", "union")

@@ -59,34 +59,57 @@ DIRECTIVES = {
     "y": ("yy", r"\d{2}"), "j": ("DDD", r"\d{3}"), "b": ("MMM", r"[A-Za-z]{3}"), "h": ("MMM", r"[A-Za-z]{3}"), "B": ("MMMM", r"[A-Za-z]+"),
     "a": ("EEE", r"[A-Za-z]{3}"), "A": ("EEEE", r"[A-Za-z]+"), "I": ("hh", r"\d{2}"), "p": ("a", r"[AaPp][Mm]"), "Z": ("zzz", r"[A-Z]+"), "z": ("xx", r"[+-]\d{4}"),
 }
-COMPOSED = {"T": "%H:%M:%S", "F": "%Y-%m-%d", "D": "%m/%d/%y", "R": "%H:%M", "n": "\n", "t": "\t"}
+COMPOSED = {"T": "%H:%M:%S", "F": "%Y-%m-%d", "D": "%m/%d/%y", "R": "%H:%M", "r": "%I:%M:%S %p", "c": "%a %b %e %H:%M:%S %Y", "x": "%m/%d/%y", "X": "%H:%M:%S", "v": "%e-%b-%Y", "n": "\n", "t": "\t"}
+#: Directives that are numbers worked out from the time.
+NUMBERS = "UWVGguwCeklsP"
 
 
-def time_format(text: str) -> tuple[str, str]:
-    """Java's pattern, and a regular expression for the start of a text that it can read."""
+def time_parts(text: str) -> list[tuple[str, str]]:
+    """Parts of a time's text: ("text", as it stands), ("java", a pattern of Java's) or ("number", one of NUMBERS)."""
     for k, v in COMPOSED.items():
-        text = re.sub(rf"(?<!%)%{k}", lambda m, v=v: v, text)
-    java, shape, i, literal = [], [], 0, []
-
-    def flush():
-        if literal:
-            java.append("'" + "".join(literal).replace("'", "''") + "'")
-            shape.append(re.escape("".join(literal)))
-            literal.clear()
-
+        text = re.sub(rf"(?<!%)((?:%%)*)%{k}", lambda m, v=v: m[1] + v, text)
+    out: list[tuple[str, str]] = []
+    i = 0
     while i < len(text):
         if text[i] == "%" and i + 1 < len(text):
             d, i = text[i + 1], i + 2
             if d == "%":
-                literal.append("%")
-                continue
-            if d not in DIRECTIVES:
+                out.append(("text", "%"))
+            elif d in DIRECTIVES:
+                out.append(("java", DIRECTIVES[d][0]))
+            elif d in NUMBERS:
+                out.append(("number", d))
+            else:
                 raise PipelineError(f"the time directive %{d} isn't supported")
-            flush()
-            java.append(DIRECTIVES[d][0])
-            shape.append(DIRECTIVES[d][1])
         else:
-            literal.append(text[i])
+            out.append(("text", text[i]))
             i += 1
-    flush()
+    return out
+
+
+#: What can be read besides DIRECTIVES.
+_READ = {"e": "d", "k": "H", "l": "h"}
+
+
+def time_format(text: str) -> tuple[str, str]:
+    """Java's pattern, and a regular expression for the start of a text that it can read."""
+    java, shape, literal = [], [], []
+    found = [*time_parts(text), ("end", "")]
+    forms = {v[0]: v[1] for v in DIRECTIVES.values()}
+    for kind, x in found:
+        if kind == "text":
+            literal.append(x)
+            continue
+        if literal:
+            java.append("'" + "".join(literal).replace("'", "''") + "'")
+            shape.append(re.escape("".join(literal)))
+            literal = []
+        if kind == "java":
+            java.append(x)
+            shape.append(forms[x])
+        elif kind == "number":
+            if x not in _READ:
+                raise PipelineError(f"the time directive %{x} can't be read, only written")
+            java.append("pp" + _READ[x])  # padded by a blank to two
+            shape.append(r"[ \d]\d")
     return "".join(java), "".join(shape)

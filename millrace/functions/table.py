@@ -231,27 +231,33 @@ def json_member(text: str, name: str) -> str:
     return "".join(out)
 
 
+#: Flat objects without escapes, which most are: a member's text is what stands there.
+_PLAIN = r'(?:"[^"\\]*"|-?[0-9][-+0-9.eE]*|true|false|null)'
+_FLAT = rf'^\s*\{{\s*(?:"[^"\\]*"\s*:\s*{_PLAIN}\s*(?:,\s*"[^"\\]*"\s*:\s*{_PLAIN}\s*)*)?\}}\s*$'
+
+
 def _json_get(s, j, n):
     @F.pandas_udf("string")
     def member(texts, names):
         import pandas as pd
 
-        return pd.Series([json_member(t, k) for t, k in zip(texts, names)], dtype=object)
+        return pd.Series([None if t is None else json_member(t, k) for t, k in zip(texts, names)], dtype=object)
 
-    return member(j.col.cast("string"), n.col.cast("string"))
+    text = j.col.cast("string")
+    if not n.literal or not re.fullmatch(r"\w+", n.literal):
+        return member(text, n.col.cast("string"))
+    # only what isn't flat leaves the JVM
+    flat = text.rlike(_FLAT)
+    found = F.array_join(F.regexp_extract_all(text, F.lit(rf'[{{,]\s*"{n.literal}"\s*:\s*({_PLAIN})'), 1), "")
+    return F.when(flat, found).otherwise(member(F.when(~flat, text), n.col.cast("string")))
 
 
 define("str.json.get", ((S, S), S, _json_get))
 
 
 def _now(s):
-    @F.udf("long")
-    def now():
-        import time
-
-        return time.time_ns() // 1000
-
-    return now.asNondeterministic()()
+    # of each row, as it is made; current_timestamp() would be one for all
+    return F.expr("cast(java_method('java.lang.System', 'currentTimeMillis') as bigint) * 1000L")
 
 
 define("time.now_epoch_usec", ((), "uint", _now))
@@ -276,7 +282,23 @@ def _time_format(s, t, form):
         raise PipelineError("a time format must be a literal")
     if not form.literal:
         raise PipelineError("a time format is empty")
-    return F.date_format(F.from_utc_timestamp(F.timestamp_micros(t.col), s.zone), patterns.time_format(form.literal)[0])
+    at = F.from_utc_timestamp(F.timestamp_micros(t.col), s.zone)
+    return F.concat(*(F.lit(x) if k == "text" else F.date_format(at, x) if k == "java" else _time_number(at, t.col, x) for k, x in patterns.time_parts(form.literal)))
+
+
+def _time_number(at: Column, usec: Column, directive: str) -> Column:
+    """Directives that Java's patterns lack."""
+    day, week_day = F.dayofyear(at), F.dayofweek(at) - 1  # from Sunday
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    padded = lambda c: F.lpad(c.cast("string"), 2, " ")
+    hour = F.hour(at)
+    return {
+        "U": lambda: two(F.floor((day + 6 - week_day) / 7)), "W": lambda: two(F.floor((day + 6 - (week_day + 6) % 7) / 7)),
+        "V": lambda: two(F.weekofyear(at)), "G": lambda: F.extract(F.lit("YEAROFWEEK"), at).cast("string"), "g": lambda: two(F.extract(F.lit("YEAROFWEEK"), at) % 100),
+        "u": lambda: ((week_day + 6) % 7 + 1).cast("string"), "w": lambda: week_day.cast("string"), "C": lambda: two(F.floor(F.year(at) / 100)),
+        "e": lambda: padded(F.dayofmonth(at)), "k": lambda: padded(hour), "l": lambda: padded((hour + 11) % 12 + 1), "s": lambda: F.call_function("div", usec, F.lit(1_000_000).cast("long")).cast("string"),
+        "P": lambda: F.when(hour < 12, "am").otherwise("pm"),
+    }[directive]()
 
 
 define("time.parse", *((k, "uint", _time_parse) for k in TEXT2))

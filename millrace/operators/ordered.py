@@ -40,18 +40,17 @@ def carried(rows: DataFrame, values: dict[str, Column], step: Callable, start):
     return out
 
 
-def offset(by_part: dict[int, object], kind: str) -> Column:
-    if not by_part:
-        return F.lit(None).cast(kind)
-    pairs = [x for k, v in by_part.items() for x in (F.lit(k), F.lit(v).cast(kind))]
-    return F.try_element_at(F.create_map(*pairs), F.col(PART))
+def offset(rows: DataFrame, by_part: dict[int, object], kind: str, name: str) -> DataFrame:
+    """Adds ``name``, what belongs to the row's partition, null where nothing does; the table that is broadcast has a row per partition."""
+    table = rows.sparkSession.createDataFrame([(k, v) for k, v in by_part.items()], f"{PART} int, {name} {kind}")
+    return rows.join(F.broadcast(table), PART, "left")
 
 
 def numbered(df: DataFrame, order: list[tuple[str, bool]], name: str) -> DataFrame:
     """Adds ``name``, the number of each row in the order, from 1."""
     rows = ranged(df, order)
     before = carried(rows, {"n": F.count(F.lit(1))}, lambda c, r: c + r.n, 0)
-    return rows.withColumn(name, F.col(AT) + offset(before, "long")).drop(PART, AT)
+    return offset(rows, before, "long", "__before").withColumn(name, F.col(AT) + F.col("__before")).drop(PART, AT, "__before")
 
 
 def within() -> W:
@@ -63,8 +62,8 @@ def lagged(rows: DataFrame, column: str, start: Column, name: str) -> DataFrame:
     kind = rows.schema[column].dataType.simpleString()
     last = carried(rows, {"v": F.max_by(column, AT)}, lambda c, r: (r.v,), None)
     previous = F.lag(column).over(within())
-    passed = offset({k: v[0] for k, v in last.items() if v is not None}, kind.split(" ")[0])
-    return rows.withColumn(name, F.when(F.col(AT) > 1, previous).otherwise(F.coalesce(passed, start)))
+    rows = offset(rows, {k: v[0] for k, v in last.items() if v is not None}, kind.split(" ")[0], "__passed")
+    return rows.withColumn(name, F.when(F.col(AT) > 1, previous).otherwise(F.coalesce(F.col("__passed").cast(rows.schema[column].dataType), start))).drop("__passed")
 
 
 def running(rows: DataFrame, column: str, how: str, start, name: str) -> DataFrame:
@@ -76,9 +75,10 @@ def running(rows: DataFrame, column: str, how: str, start, name: str) -> DataFra
     if how == "sum" and kind == "bigint":
         before = {k: (v + (1 << 63)) % (1 << 64) - (1 << 63) for k, v in before.items()}
     own = aggregate(column).over(within().rowsBetween(W.unboundedPreceding, 0))
-    base = F.coalesce(offset(before, kind), F.lit(start).cast(kind))
+    rows = offset(rows, before, kind, "__base")
+    base = F.coalesce("__base", F.lit(start).cast(kind))
     total = own + base if how == "sum" else F.greatest(own, base) if how == "max" else F.least(own, base)
-    return rows.withColumn(name, total.cast(kind))
+    return rows.withColumn(name, total.cast(kind)).drop("__base")
 
 
 def last_marked(rows: DataFrame, mark: Column, name: str, kind: str) -> DataFrame:
@@ -86,4 +86,5 @@ def last_marked(rows: DataFrame, mark: Column, name: str, kind: str) -> DataFram
     rows = rows.withColumn("__mark", mark)
     before = carried(rows, {"v": F.max_by("__mark", F.when(F.col("__mark").isNotNull(), F.col(AT)))}, lambda c, r: c if r.v is None else (r.v,), None)
     own = F.last("__mark", ignorenulls=True).over(within().rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn(name, F.coalesce(own, offset({k: v[0] for k, v in before.items() if v is not None}, kind))).drop("__mark")
+    rows = offset(rows, {k: v[0] for k, v in before.items() if v is not None}, kind, "__passed")
+    return rows.withColumn(name, F.coalesce(own, "__passed")).drop("__mark", "__passed")

@@ -215,15 +215,14 @@ def _generate(flow, call, context):
 
 @operator("io.file.read", "any", "any", "records or lines of files, one after the other")
 def _read(flow, call, context):
+    from millrace.sources import native
     from millrace.sources.text import lines
 
     names = strings(call, context)
     if all(n in context.tables or n.rstrip("/").endswith(".parquet") for n in names):
         first, *rest = [context.flow(n) for n in names] if any(n in context.tables for n in names) else [context.read(names)]
-        for r in rest:
-            first = first.union(r)
-        return first
-    if all(n.endswith((".native", ".native.gz")) for n in names):
+        return first.followed_by(*rest) if rest else first
+    if all(native.is_native(context.spark, n) for n in names):
         return context.read(names)
     return lines(context.spark, *names)
 
@@ -231,8 +230,12 @@ def _read(flow, call, context):
 def _write(mode):
     def run(stream, call, context):
         (path,) = strings(call, context)
-        if isinstance(stream, Flow):
+        if isinstance(stream, Flow) and path.rstrip("/").endswith(".parquet"):
             stream.df().write.mode(mode).parquet(path)
+        elif isinstance(stream, Flow):
+            from millrace.sources import native
+
+            native.write(stream, path, mode)
         else:
             stream.select("value").write.mode(mode).option("lineSep", getattr(stream, "_line_end", "\n")).text(path)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from millrace.flow import Flow
 from millrace.operators import scripting
 from millrace.plans.script import run_script
-from millrace.session import child
+from millrace.session import child, shared_dir
 from millrace.sources import native, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,9 +49,8 @@ def flow(spark: SparkSession, sf_dir: str, name: str) -> Flow:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path below the shared folder; a local one only where the session names none, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return f"{at.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
 def query(sql: str | None = None):
@@ -214,7 +213,7 @@ def _roundtrip(kind: str):
         nation, path = flow(spark, sf_dir, "nation").order_by("n_nationkey"), scratch(spark)
         if kind == "native":
             native.write(nation, path)
-            return native.read_shards(spark, path).plain()
+            return native.read(spark, path).plain()
         text.save(getattr(text, f"{kind}_lines")(nation), path, end="\0" if kind == "usv" else "\n")
         return (text.from_usv(spark, path) if kind == "usv" else getattr(text, f"from_{kind}")(text.lines(spark, path))).plain()
 

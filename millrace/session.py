@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.errors import PipelineError
+
 CONF = {"spark.sql.ansi.enabled": "false", "spark.sql.caseSensitive": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.legacy.timeParserPolicy": "CORRECTED"}
 
 
@@ -21,9 +24,28 @@ def child(spark: SparkSession) -> SparkSession:
     return out
 
 
+def moved(df: DataFrame) -> DataFrame:
+    """``df`` in the child session, so that what is added to it has the semantics of flows."""
+    spark = child(df.sparkSession)
+    if spark is df.sparkSession:
+        return df
+    plan = df._jdf.queryExecution().analyzed()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that driver and executors share, with its lineage cut."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where the session names none and all is in one process, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if at:
+        return at
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise PipelineError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="millrace-checkpoint-")

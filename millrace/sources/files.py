@@ -32,9 +32,9 @@ def start_and_end(spark: SparkSession, path: str, n: int = 8) -> tuple[bytes, by
     size = fs.getFileStatus(at).getLen()
     stream = fs.open(at)
     try:
-        head = bytes(max(0, stream.read()) for _ in range(min(n, size)))
         if not size:
             return b"", b""
+        head = bytes(stream.readNBytes(min(n, size)))
         stream.seek(size - 1)
         return head, bytes([stream.read()])
     finally:

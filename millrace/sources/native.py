@@ -18,6 +18,7 @@ from millrace.session import child
 from millrace.sources.files import expand
 from millrace.types import from_text, split_heading, to_text
 
+# Eight zero bytes end a record.
 TAIL = bytes(8)
 
 
@@ -119,22 +120,24 @@ def to_bytes(flow: Flow) -> bytes:
     return pack([h.encode() for h in flow.headings]) + b"".join(pack([x.encode() for x in r]) for r in rows.select(*texts).toLocalIterator())
 
 
-def write(flow: Flow, path: str) -> None:
-    """A sequence of shards, each with the headings, written by the tasks through Hadoop's own output formats.
+def write(flow: Flow, path: str, mode: str = "overwrite") -> None:
+    """Shards in the format itself, each with the headings, written by the tasks in the flow's order.
 
-    Records are base64 lines on their way through Spark's text writer, which holds no raw bytes; ``read_shards`` undoes that.
+    Spark's text writer takes bytes as they are and ends each record with a separator: the last of a record's zero bytes.
     """
     texts = [to_text(F.col(f"`{c}`"), t).cast("string").alias(c) for c, t in flow.tags.items()]
-    head = pack([h.encode() for h in flow.headings])
+    head = pack([h.encode() for h in flow.headings])[:-1]
 
     def run(batches):
-        import base64
-
         import pandas as pd
 
-        yield pd.DataFrame({"value": [base64.b64encode(head).decode()]})
+        first = True
         for b in batches:
-            yield pd.DataFrame({"value": [base64.b64encode(pack([x.encode() for x in row])).decode() for row in b.itertuples(index=False)]})
+            rows = [pack([x.encode() for x in row])[:-1] for row in b.itertuples(index=False)]
+            yield pd.DataFrame({"value": [head, *rows] if first else rows})
+            first = False
+        if first:
+            yield pd.DataFrame({"value": [head]})
 
     from millrace.operators.ordered import directed
 
@@ -142,25 +145,27 @@ def write(flow: Flow, path: str) -> None:
     if flow.order:
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartitionByRange(n, *directed(list(flow.order))).sortWithinPartitions(*directed(list(flow.order)))
-    rows.select(*texts).mapInPandas(run, "value string").write.mode("overwrite").text(path)
-
-
-def read_shards(spark: SparkSession, path: str) -> Flow:
-    """What ``write`` has written."""
-    spark = child(spark)
-    lines = spark.read.text(path).select(F.unbase64("value").alias("v"), F.col("_metadata.file_path").alias("__o0"), F.col("_metadata.file_block_start").alias("__o1"), F.monotonically_increasing_id().alias("__o2"))
-
-    def fields(batches):
-        import pandas as pd
-
-        for b in batches:
-            yield pd.DataFrame({"x": [[f.decode() for f in next(unpack(bytes(v)))] for v in b["v"]], "__o0": b["__o0"], "__o1": b["__o1"], "__o2": b["__o2"]})
-
-    rows = lines.mapInPandas(fields, "x array<string>, __o0 string, __o1 long, __o2 long")
-    first = rows.orderBy("__o0", "__o1", "__o2").limit(1).first()
-    if first is None:
-        raise PipelineError("there are no headings", "io.file.read")
-    headings = [split_heading(h) for h in first.x]
-    rows = rows.where(F.col("x") != F.array(*(F.lit(h) for h in first.x)))
-    cols = [from_text(F.get("x", F.lit(k)), t or "string").alias(n) for k, (t, n) in enumerate(headings)]
-    return Flow(rows.select(*cols, "__o0", "__o1", "__o2"), {n: t or "string" for t, n in headings}, (("__o0", True), ("__o1", True), ("__o2", True)))
+    binary = rows.select(*texts).mapInPandas(run, "value binary")
+    binary.select(F.col("value").cast("string").alias("value")).write.mode(mode).option("lineSep", "\0").text(path)
+
+
+def is_native(spark: SparkSession, path: str) -> bool:
+    """Whether the first file begins with a record of headings that have types; only its first bytes are read."""
+    from millrace.sources.files import start_and_end
+
+    files = expand(spark, path)
+    if not files:
+        return False
+    head = start_and_end(spark, files[0], 1 << 16)[0]
+    if head[:2] == b"\x1f\x8b":
+        import zlib
+
+        try:
+            head = zlib.decompressobj(31).decompress(head, 1 << 16)
+        except zlib.error:
+            return False
+    try:
+        found = [f.decode() for f in next(unpack(head), [])]
+        return bool(found) and all(split_heading(h)[0] for h in found)
+    except (ValueError, PipelineError):
+        return False

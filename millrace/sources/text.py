@@ -26,14 +26,18 @@ def lines(spark: SparkSession, *paths: str, end: str = "\n", strict: bool = True
     files = [f for p in paths for f in expand(spark, p)]
     if not files:
         raise PipelineError(f"no file at {', '.join(paths)}", "io.file.read")
-    parts = None
-    for i, f in enumerate(files):
-        one = spark.read.option("lineSep", end).text(f).select("value", F.lit(i).alias("__o0"), F.col("_metadata.file_block_start").alias("__o1"), F.monotonically_increasing_id().alias("__o2"))
-        if strict and not f.endswith((".gz", ".bz2", ".zst")) and start_and_end(spark, f)[1] not in (b"", end.encode()):
-            last = one.agg(F.max(F.struct("__o1", "__o2")).alias("x")).first().x
-            one = one.where((F.col("__o1") != last[0]) | (F.col("__o2") != last[1]))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    # one scan of all files; each has a row here, by what Spark calls it and by its place
+    open_ended = [strict and not f.endswith((".gz", ".bz2", ".zst")) and start_and_end(spark, f, 1)[1] not in (b"", end.encode()) for f in files]
+    named = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    known = spark.createDataFrame([(f, i, o) for i, (f, o) in enumerate(zip(files, open_ended))], "f string, __o0 int, __open boolean")
+    rows = spark.read.option("lineSep", end).text(list(dict.fromkeys(files))).select("value", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("f"), F.col("_metadata.file_block_start").alias("__o1"))
+    # numbered after the join: numbers keep conditions on fields from being tried on lines that go first, like headings
+    rows = rows.withColumn("f", named("f")).join(F.broadcast(known.withColumn("f", named("f"))), "f").select("value", "__o0", "__o1", F.monotonically_increasing_id().alias("__o2"), "__open")
+    if any(open_ended):
+        last = rows.where("__open").groupBy("__o0").agg(F.max(F.struct("__o1", "__o2")).alias("last"))
+        rows = rows.join(F.broadcast(last), "__o0", "left").where("last is null or __o1 <> last.__o1 or __o2 <> last.__o2")
+        rows = rows.withColumn("value", F.when(F.monotonically_increasing_id() >= 0, F.col("value")))
+    return rows.select("value", "__o0", "__o1", "__o2")
 
 
 def _first(rows: DataFrame):
@@ -62,12 +66,17 @@ def _table(rows: DataFrame, cut, operator: str, headings: list[str] | None, stri
 
 def _unescaped(c: Column, letters: str = "nrt\\") -> Column:
     """Escapes of ``letters``; any other stays as it is."""
-    stands = {"n": "\n", "r": "\r", "t": "\t", "\\": "\\"}
-    if "\\" in letters:
-        c = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
-    for k in letters.replace("\\", ""):
-        c = F.replace(c, F.lit("\\" + k), F.lit(stands[k]))
-    return F.replace(c, F.lit("\x00"), F.lit("\\")) if "\\" in letters else c
+    stands = {"n": "\n", "r": "\r", "t": "\t"}
+
+    def plain(x: Column) -> Column:
+        for k in letters.replace("\\", ""):
+            x = F.replace(x, F.lit("\\" + k), F.lit(stands[k]))
+        return x
+
+    if "\\" not in letters:
+        return plain(c)
+    # what stands between doubled backslashes, which are parted from the left, has none of them
+    return F.array_join(F.transform(F.split(c, r"\\\\", -1), plain), "\\")
 
 
 def from_tsv(rows: DataFrame, headings: list[str] | None = None) -> Flow:
@@ -180,14 +189,16 @@ def _escaped(c: Column) -> Column:
 
 
 def _with_headings(flow: Flow, value: Column, head: str) -> DataFrame:
-    """The line of headings, then the rows in the flow's order."""
+    """The line of headings, then the rows in the flow's order: a partition after the other, so a file after the other when written."""
     from millrace.operators.ordered import directed
 
     rows = flow.rows.select(value.alias("value"), *(F.col(o) for o, _ in flow.order))
-    if flow.order:
-        rows = rows.repartition(1).sortWithinPartitions(*directed(list(flow.order)))
     first = flow.spark.createDataFrame([(head,)], "value string").coalesce(1)
-    return first.unionAll(rows.select("value")).coalesce(1)
+    if not flow.order:
+        return first.unionAll(rows)
+    nothing = [F.lit(None).cast(rows.schema[o].dataType).alias(o) for o, _ in flow.order]
+    both = first.select("value", *nothing, F.lit(0).alias("__turn")).unionByName(rows.withColumn("__turn", F.lit(1)))
+    return both.orderBy("__turn", *directed(list(flow.order))).select("value")
 
 
 def _texts(flow: Flow) -> list[Column]:

@@ -55,6 +55,7 @@ def fold(flow: Flow, by: list[str], outputs: str) -> Flow:
     schema = T.StructType([*(T.StructField(c, SPARK[flow.tags[c]]) for c in by), *(T.StructField(n, SPARK[t]) for _, t, n in parsed)])
     state = T.StructType([T.StructField("n", T.LongType()), *(T.StructField(n, SPARK[t]) for _, t, n in parsed)])
     start = {n: DEFAULTS[t] for _, t, n in parsed}
+    made = [(n, prev.compiled(e, flow.tags, {n: t for _, t, n in parsed})[0]) for e, _, n in parsed]
 
     def run(keys, batches, held):
         import pandas as pd
@@ -65,7 +66,7 @@ def fold(flow: Flow, by: list[str], outputs: str) -> Flow:
             out = []
             for row in batch.to_dict("records"):
                 number += 1
-                previous = {n: prev.evaluate(e, row, previous, number) for e, _, n in parsed}
+                previous = {n: act(row, previous, number) for n, act in made}
                 out.append({**dict(zip(by, keys)), **previous})
             yield pd.DataFrame(out, columns=schema.names)
         held.update((number, *previous.values()))
