@@ -6,6 +6,7 @@ that driver and executors share.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,9 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import __version__, streaming
 from millrace.flow import Flow
 from millrace.operators import scripting
-from millrace.plans.script import run_script
+from millrace.plans.script import OPERATORS, run_script
 from millrace.session import child, shared_dir
 from millrace.sources import native, text
 
@@ -67,7 +69,8 @@ def script(name: str, code: str, sql: str | None = None, **more) -> None:
     """Registers a script; it may use any table by name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run_script(spark, code, Tables(spark, sf_dir), **more).plain()
+        out = run_script(spark, code, Tables(spark, sf_dir), **more)
+        return out.plain() if isinstance(out, Flow) else out.select("value")
 
     run.__name__ = name
     query(sql)(run)
@@ -181,9 +184,17 @@ def intersect_idiom(spark, sf_dir):
     return flow(spark, sf_dir, "customer").select("c_nationkey as k").unique().join_natural(flow(spark, sf_dir, "supplier").select("s_nationkey as k").unique()).plain()
 
 
-@query()
+# FNV-1a's start and prime for 64 bits, and its powers for eight zero bytes.
+_FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, length(hex({0})) // 2 + 1), lambda i: ('0x' || hex({0})[2 * i - 1:2 * i])::UHUGEINT)), lambda h, b: xor(h, b) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT)"
+_ZEROS = pow(1099511628211, 8, 1 << 64)
+
+
+@query(f"""WITH p AS (SELECT s_suppkey, s_name, s_suppkey || s_name AS t FROM supplier), q AS (SELECT o_orderkey, o_orderkey || '' AS t FROM orders),
+  ps AS (SELECT s_suppkey, s_name, {_FNV.format('t')} * {_ZEROS}::UHUGEINT % 18446744073709551616::UHUGEINT AS h FROM p), qs AS (SELECT o_orderkey, {_FNV.format('t')} * {_ZEROS}::UHUGEINT % 18446744073709551616::UHUGEINT AS h FROM q),
+  first AS (SELECT s_suppkey, s_name FROM ps ORDER BY h LIMIT 1)
+  SELECT o_orderkey, coalesce(m.s_suppkey, first.s_suppkey) AS s_suppkey, coalesce(m.s_name, first.s_name) AS s_name FROM (SELECT o_orderkey, ps.s_suppkey, ps.s_name FROM qs ASOF LEFT JOIN ps ON qs.h <= ps.h) m, first""")
 def join_consistent_hash(spark, sf_dir):
-    suppliers = flow(spark, sf_dir, "supplier").where("s_suppkey <= 20").select("s_suppkey, s_name")
+    suppliers = flow(spark, sf_dir, "supplier").select("s_suppkey, s_name")
     return flow(spark, sf_dir, "orders").select("o_orderkey").join_consistent_hash(suppliers).plain()
 
 
@@ -266,3 +277,137 @@ def macro_op(spark, sf_dir):
         with open(f"{folder}/totals_of", "w") as f:
             f.write("rel.where(o_orderstatus = $1) | rel.select(o_orderpriority, $2) | $3(sum $2) | rel.select(o_orderpriority, to_string(_sum) as total);")
         return run_script(spark, "io.file.read('orders') | totals_of('F', o_totalprice, rel.group);", Tables(spark, sf_dir), search=[folder]).plain()
+
+
+# -- one row for each operator that the queries above don't name -------------------------------------
+script("order_by_mergesort", "io.file.read('orders') | rel.order_by.mergesort(o_totalprice, o_orderkey) | rel.where(_rownum <= 25U) | rel.select(o_orderkey);", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 25")
+script("order_by_quicksort_desc", "io.file.read('orders') | rel.order_by.quicksort.desc(o_totalprice, o_orderkey) | rel.where(_rownum <= 25U) | rel.select(o_orderkey);", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25")
+script("assert_empty", "io.file.read('region') | rel.where(r_regionkey > 100) | rel.assert.empty() | rel.record_count();", "SELECT 0 AS _count")
+script("uuidgen", "io.file.read('nation') | rel.select(n_nationkey, str.regex_match('^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$', str.uuidgen()) as ok);", "SELECT n_nationkey, true AS ok FROM nation")
+script("rand64", "io.file.read('nation') | rel.select(math.rand64() as r) | rel.unique() | rel.record_count();", "SELECT count(*) AS _count FROM nation")
+script("now_epoch_usec", "io.file.read('nation') | rel.select(n_nationkey, time.now_epoch_usec() > 1700000000000000U as ok);", "SELECT n_nationkey, true AS ok FROM nation")
+script("uint_running_max", "io.file.read('orders') | rel.order_by(o_orderkey) | rel.select(o_orderkey, o_custkey as uint:c) | rel.select(o_orderkey, c - 700U as d) | rel.select(o_orderkey, if (d > prev.top) then (d) else (prev.top) as uint:top) | rel.select(o_orderkey, to_string(top) as top);", "SELECT o_orderkey, max(CASE WHEN o_custkey < 700 THEN 18446744073709551616::HUGEINT + o_custkey - 700 ELSE o_custkey - 700 END) OVER (ORDER BY o_orderkey)::VARCHAR AS top FROM orders")
+script("prev_functions", "io.file.read('nation') | rel.order_by(n_nationkey) | rel.select(n_nationkey, str.to_upper_case(prev.s + str.to_lower_case(n_name)) as string:s);", "SELECT n_nationkey, upper(string_agg(n_name, '') OVER (ORDER BY n_nationkey)) AS s FROM nation")
+script("time_format_more", "io.file.read('orders') | rel.select(o_orderkey, o_orderdate as uint:d) | rel.select(o_orderkey, time.format(d, '%j %U %c') as x);", "SELECT o_orderkey, strftime(o_orderdate, '%j %U %a %b ') || lpad(day(o_orderdate)::VARCHAR, 2, ' ') || strftime(o_orderdate, ' %H:%M:%S %Y') AS x FROM orders")
+script("shell_function", "io.file.read('region') | rel.select(r_name, meta.shell('printf ' + str.regex_replace_all(' ', r_name, '_')) as x);", "SELECT r_name, replace(r_name, ' ', '_') AS x FROM region", allow_side_effects=True)
+script("shell_stream", "io.file.read('nation') | rel.select(n_name) | meta.shell('tail -n +2 | sort | head -n 7');", "SELECT n_name AS value FROM nation ORDER BY n_name LIMIT 7", allow_side_effects=True)
+script("url_get", "io.file.read('region') | rel.select(r_name, io.net.url.get('http://127.0.0.1:9/none') as x);", "SELECT r_name, '' AS x FROM region", allow_side_effects=True)
+script("help_version", "help.version();", f"SELECT '{__version__}' AS value")
+script("help_markdown", r"help.markdown() | rel.from_text_ignore_non_matching('^- `([a-z0-9_A-Z.]+)` \((\w+) to (\w+)\)', 'name', 'takes', 'gives');", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{o.takes}', '{o.gives}')" for n, o in sorted(OPERATORS.items())) + ") t(name, takes, gives)")
+
+
+def written(name: str, make: Callable, code: str, sql: str, **more) -> None:
+    """Registers a script over a file that ``make(spark, sf_dir, path)`` writes; the code names it {path}, and another fresh one {other}."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, other = scratch(spark), scratch(spark)
+        make(spark, sf_dir, path)
+        out = run_script(spark, code.replace("{path}", path).replace("{other}", other), Tables(spark, sf_dir), **more)
+        return out.plain() if isinstance(out, Flow) else out.select("value")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+def _raw(df: DataFrame, path: str) -> None:
+    """One column of bytes as one file: the text writer takes them as they are and ends with a zero byte."""
+    df.select(F.col(df.columns[0]).cast("string")).coalesce(1).write.option("lineSep", "\0").text(path)
+
+
+def _nothing(spark, sf_dir, path):
+    pass
+
+
+def _urls(spark, sf_dir, path):
+    spark.read.parquet(f"{sf_dir}/pages.parquet").where(F.col("url").rlike(r"^\w+://[^/]+")).select(F.regexp_replace("url", "[\r\n]", " ")).write.text(path)
+
+
+def _crs(spark, sf_dir, path):
+    spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("\r"), F.col("n_name"), F.lit("\r\r"), F.col("n_nationkey").cast("string"), F.lit("\r"))).write.text(path)
+
+
+def _utf16(spark, sf_dir, path):
+    names = spark.read.parquet(f"{sf_dir}/region.parquet").agg(F.array_join(F.sort_array(F.collect_list("r_name")), "é\n").alias("x"))
+    whole = F.concat(F.unhex(F.lit("FFFE")), F.encode(F.concat("x", F.lit("é\n")), "UTF-16LE"))
+    # the last zero byte is the writer's own
+    _raw(names.select(F.substring(whole, F.lit(1), F.octet_length(whole) - 1)), path)
+
+
+def _shapes(spark, sf_dir, path):
+    def run(batches):
+        import struct
+
+        import pandas as pd
+
+        points = [p for b in batches for p in b.itertuples(index=False)]
+        body = b"".join(struct.pack(">ii", i + 1, 10) + struct.pack("<i2d", 1, x, y) for i, (x, y) in enumerate(points))
+        yield pd.DataFrame({"value": [struct.pack(">i", 9994) + bytes(96) + body]})
+
+    points = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey + 0.5D as x", "n_regionkey - 2.0D as y")
+    _raw(points.coalesce(1).mapInPandas(run, "value binary"), path)
+
+
+def _folders(spark, sf_dir, path):
+    spark.read.parquet(f"{sf_dir}/nation.parquet").coalesce(1).write.partitionBy("n_regionkey").parquet(path)
+
+
+written("from_text_strict", _urls, r"io.file.read('{path}') | rel.from_text('^(\w+)://([^/]+)', 'scheme', 'host');", r"SELECT regexp_extract(url, '^(\w+)://([^/]+)', 1) AS scheme, regexp_extract(url, '^(\w+)://([^/]+)', 2) AS host FROM pages WHERE regexp_matches(url, '^(\w+)://([^/]+)')")
+written("strip_cr", _crs, "io.file.read('{path}') | text.strip_cr();", "SELECT n_name || n_nationkey AS value FROM nation")
+written("utf16_to_utf8", _utf16, "text.utf16_to_utf8('{path}');", "SELECT r_name || 'é' AS value FROM region")
+written("from_shapefile", _shapes, "rel.from_shapefile('{path}');", "SELECT printf('POINT (%.6f %.6f)', n_nationkey + 0.5, n_regionkey - 2.0) AS _geom FROM nation")
+_FOLDERS = "SELECT DISTINCT 'n_regionkey=' || n_regionkey AS file_name FROM nation"
+for _name, _operator in (("directory_list", "io.directory.list"), ("ls", "io.ls")):
+    written(_name, _folders, _operator + "('{path}') | rel.where(is_directory) | rel.select(file_name);", _FOLDERS)
+for _name, _operator in (("directory_list_recurse", "io.directory.list_recurse"), ("ls_r", "io.ls_r")):
+    written(_name, _folders, _operator + "('{path}') | rel.where(str.contains(file_name, '.parquet') && !str.starts_with(file_name, '.')) | rel.select(str.regex_replace('.*/(n_regionkey=[0-9]+)$', directory_name, '\\\\1') as file_name);", _FOLDERS)
+written("native_script_roundtrip", _nothing, "io.file.read('customer') | rel.order_by(c_custkey) | rel.where(_rownum <= 700U) | io.file.overwrite('{path}'); io.file.read('{path}') | rel.select(c_custkey, c_name, c_acctbal, _rownum as n);", "SELECT c_custkey, c_name, round(c_acctbal, 6) AS c_acctbal, row_number() OVER (ORDER BY c_custkey) AS n FROM customer ORDER BY c_custkey LIMIT 700")
+written("append_roundtrip", _nothing, "io.file.read('nation') | rel.where(n_regionkey = 1) | io.file.append('{path}'); io.file.read('nation') | rel.where(n_regionkey <> 1) | io.file.append('{path}'); io.file.read('{path}');", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+written("overwrite_text", _nothing, "io.file.read('nation') | rel.to_tsv() | io.file.overwrite('{path}'); io.file.read('region') | rel.to_csv() | io.file.overwrite('{path}'); io.file.read('{path}') | rel.from_csv();", "SELECT r_regionkey, r_name FROM region")
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey = 2")
+def meta_script(spark, sf_dir):
+    """A script in a file, within a pipeline."""
+    with tempfile.TemporaryDirectory() as folder:
+        with open(f"{folder}/part", "w") as f:
+            f.write("rel.where(n_regionkey = 2) | rel.select(n_name);")
+        return run_script(spark, f"io.file.read('nation') | meta.script('{folder}/part');", Tables(spark, sf_dir)).plain()
+
+
+@query("SELECT 'kept' AS x, '' AS after, true AS gone")
+def file_functions(spark, sf_dir):
+    """Reads a file of the executors, erases it, and finds nothing: in the folder that all share, where that is a local one."""
+    at = f"{scratch(spark).removeprefix('file://')}.txt"
+    os.makedirs(os.path.dirname(at), exist_ok=True)
+    with open(at, "w") as f:
+        f.write("kept")
+    step = lambda expression: run_script(spark, f"rel.generate_sequence(0, 1) | rel.select({expression} as x);", allow_side_effects=True).plain().first().x
+    values = step(f"io.file.read('{at}')"), step(f"io.file.erase('{at}')"), step(f"io.file.read('{at}')")
+    return spark.createDataFrame([(values[0], values[2], values[1])], "x string, after string, gone boolean")
+
+
+def streamed(name: str, step: Callable, sql: str) -> None:
+    """Registers a query over events as they come, a file at a time, whose output is read when all have come."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source, out = scratch(spark), scratch(spark)
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        events.repartition(3, "event_id").write.parquet(source)
+        found = streaming.read_parquet(spark, source, events.schema)
+        stream, mode = step(found, spark, sf_dir)
+        rows = stream.plain()
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+
+        rows.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+        return spark.read.parquet(out)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+streamed("stream_stateless", lambda f, *_: (f.where("event_type = 'click'").select("event_id, value * 2.0 as v"), "append"), "SELECT event_id, value * 2.0::DOUBLE AS v FROM events WHERE event_type = 'click'")
+streamed("stream_static_join", lambda f, spark, sf: (f.select("event_id, user_id").join_natural(flow(spark, sf, "customer").select("c_custkey as user_id, c_name")), "append"), "SELECT event_id, user_id, c_name FROM events JOIN customer ON user_id = c_custkey")
+streamed("stream_unique", lambda f, *_: (streaming.unique(f.select("event_type, user_id")), "append"), "SELECT DISTINCT event_type, user_id FROM events")
+streamed("stream_group", lambda f, *_: (f.select("event_type, user_id").group("sum", "user_id"), "complete"), "SELECT event_type, sum(user_id)::BIGINT AS _sum FROM events GROUP BY 1")

@@ -40,11 +40,19 @@ def lines(spark: SparkSession, *paths: str, end: str = "\n", strict: bool = True
     return rows.select("value", "__o0", "__o1", "__o2")
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Lines that come from no file, like those of a listing or of ``to_tsv``, have the order in which they stand."""
+    if "__o0" in rows.columns:
+        return rows
+    return rows.select("value", F.lit(0).alias("__o0"), F.lit(0).cast("long").alias("__o1"), F.monotonically_increasing_id().alias("__o2"))
+
+
 def _first(rows: DataFrame):
     return rows.where("__o0 = 0 and __o1 = 0").orderBy("__o2").limit(1).first()
 
 
 def _table(rows: DataFrame, cut, operator: str, headings: list[str] | None, strict: bool = True) -> Flow:
+    rows = _in_order(rows)
     if headings is None:
         first = _first(rows)
         if first is None:
@@ -146,7 +154,7 @@ def from_text(rows: DataFrame, pattern: str, headings: list[str], ignore_non_mat
     operator = "rel.from_text"
     if patterns.groups(pattern) != len(headings) or not 1 <= len(headings) <= 9:
         raise PipelineError("from one to nine captures, and a heading for each, are needed", operator)
-    java = patterns.regex(pattern)
+    java, rows = patterns.regex(pattern), _in_order(rows)
     if ignore_non_matching:
         rows = rows.where(F.col("value").rlike(java))
         value = F.col("value")

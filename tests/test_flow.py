@@ -2,6 +2,8 @@ import random
 from collections import Counter
 
 import pytest
+
+from millrace.flow import Flow
 from pyspark.errors import PySparkException
 
 from millrace.errors import PipelineError
@@ -185,3 +187,41 @@ def test_native_files(spark, people, tmp_path):
         with pytest.raises(ValueError):
             if len(list(native.unpack(data[:cut]))) < 7:
                 raise ValueError
+
+
+def test_a_flow_of_another_session(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    top = (1 << 63) - 1
+    flow = Flow.of(spark.createDataFrame([(top,), (1,)], "x bigint"))
+    assert sorted(r.y for r in flow.select("x + 1 as y").plain().collect()) == [-(1 << 63), 2]
+    from millrace.plans.script import run_script
+
+    found = run_script(spark, "io.file.read('t') | rel.select(x * 2 as y);", {"t": spark.createDataFrame([(top,)], "x bigint")})
+    assert [r.y for r in found.plain().collect()] == [-2]
+    names = Flow.of(spark.createDataFrame([("a",), ("b",)], "n string"))
+    assert flow.join_consistent_hash(names).plain().count() == 2
+
+
+def test_uint_in_previous_records(flow_of):
+    flow = flow_of(["uint:x"], [(5,), (-3,), (7,), (-1,)])
+    assert listed(flow.select("if (x > prev.m) then (x) else (prev.m) as uint:m")) == [(5,), (-3,), (-3,), (-1,)]
+    assert listed(flow.select("if (prev.m < x) then (prev.m) else (x) as uint:m")) == [(0,)] * 4
+    # in one task: the recurrence needs each record before the next
+    assert listed(flow.select("if (x > prev.m / 2U) then (x) else (prev.m / 2U) as uint:m, prev.m % 3U as uint:r"))[:2] == [(5, 0), (-3, 2)]
+
+
+def test_functions_in_a_fold(flow_of):
+    flow = flow_of(["string:s"], [("a",), ("B",), ("c",)])
+    assert listed(flow.select("str.to_upper_case(prev.x + s) as string:x")) == [("A",), ("AB",), ("ABC",)]
+    with pytest.raises(PipelineError):
+        flow.select("str.uuidgen() + prev.x + to_string(prev.n) as string:x, if (prev.n > 3) then (prev.n) else (prev.n + prev.n + 1) as int:n")
+    with pytest.raises(PipelineError):
+        flow.select("prev.x + 1 as string:x")
+
+
+def test_medians_by_counts(flow_of):
+    rows = [(k, v) for k in ("a", "b", "c") for v in ([4] * 5 + [-7, 9, 1 << 62] if k == "a" else [3, 1] if k == "b" else [2])]
+    got = sorted(listed(flow_of(["string:k", "int:v"], rows).group("median", "v")))
+    assert got == [("a", 4), ("b", 1), ("c", 2)]
+    assert listed(flow_of(["uint:v"], [(-1,), (1,), (2,)]).group("median", "v")) == [(2,)]
+    assert listed(flow_of(["int:v"], []).group("median", "v")) == []

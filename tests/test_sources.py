@@ -118,3 +118,42 @@ def test_streaming(spark, tmp_path):
     assert {(r.k, r.s) for r in got if r.n == 10} == {(k, float(sum(i for i in range(30) if i % 3 == k))) for k in range(3)}
     counts = result(streaming.tumbling(source().select("t * 1000000 as t, k"), "t", "10 seconds", "count"), "s4", "complete")
     assert sum(r._count for r in counts) == 30 and len(counts) == 9
+
+
+def test_native_shards_keep_rows_like_their_headings(spark, tmp_path, flow_of):
+    from millrace.sources import native
+
+    flow = flow_of(["string:a"], [("string:a",), ("x",), ("",), ("y\nz\0",)])
+    native.write(flow, f"{tmp_path}/n")
+    assert listed(native.read(spark, f"{tmp_path}/n")) == [("string:a",), ("x",), ("",), ("y\nz\0",)]
+    parts = sorted((tmp_path / "n").glob("part-*"))
+    assert [list(native.unpack(p.read_bytes()))[0] for p in parts] == [[b"string:a"]] * len(parts)
+    run_script(spark, f"io.file.read('t') | io.file.overwrite('{tmp_path}/x.native');", {"t": flow})
+    assert listed(run_script(spark, f"io.file.read('{tmp_path}/x.native') | rel.where(a = 'x');")) == [("x",)]
+
+
+def test_escapes_and_nul(spark, tmp_path):
+    path = write(tmp_path, "a\n\\\\n\n\\n\\\\\\t\n\0\\q\n")
+    assert listed(text.from_tsv(text.lines(spark, path))) == [("\\n",), ("\n\\\t",), ("\0\\q",)]
+
+
+def test_many_files_in_order(spark, tmp_path):
+    for i in (3, 1, 2):
+        write(tmp_path, f"{i}\n{i}0\nlost" if i == 2 else f"{i}\n{i}0\n", f"f {i}.txt")
+    rows = text.lines(spark, f"{tmp_path}/f 3.txt", f"{tmp_path}/f 2.txt", f"{tmp_path}/f 1.txt")
+    assert listed(text.from_tsv(rows, ["int:x"])) == [(3,), (30,), (2,), (20,), (1,), (10,)]
+    assert listed(text.from_tsv(rows, ["int:x"]).where("x > 2")) == [(3,), (30,), (20,), (10,)]
+
+
+def test_tables_by_name_keep_their_order(spark, flow_of):
+    a, b = flow_of(["int:x"], [(3,), (1,)]), flow_of(["int:x"], [(9,), (2,)])
+    assert listed(run_script(spark, "io.file.read('a', 'b', 'a');", {"a": a, "b": b})) == [(3,), (1,), (9,), (2,), (3,), (1,)]
+
+
+@pytest.mark.parametrize("form", ["%j %U", "%c", "%e/%k:%M", "%W %u %w %C", "%s", "%I %p", "%G-W%V"])
+def test_time_formats_against_pythons(spark, flow_of, form):
+    from datetime import datetime, timezone
+
+    moments = [datetime(y, m, d, h, 5, 9, tzinfo=timezone.utc) for y, m, d, h in ((2023, 1, 1, 0), (2024, 2, 29, 12), (2021, 12, 31, 23), (2000, 7, 9, 13))]
+    flow = flow_of(["uint:t"], [(int(t.timestamp()) * 1_000_000,) for t in moments])
+    assert [r[0] for r in listed(flow.select(f"time.format(t, '{form}') as s"))] == [t.strftime(form) for t in moments]
