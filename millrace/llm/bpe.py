@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bound_batches, public_vocabulary, read_vocabulary, table, text_or_empty
+from millrace.llm.common import bound_batches, claim, on_release, public_vocabulary, read_vocabulary, table, text_or_empty
 
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Letters and numbers of Unicode 17, which the tokenizers library's expressions (Unicode 16) don't know as such.
@@ -209,6 +209,7 @@ class Bpe:
 
 
 _LOADED: dict[int, Bpe] = {}
+on_release(_LOADED.clear)
 
 
 def loaded(data: bytes) -> Bpe:
@@ -231,6 +232,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     id_type = source.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         codec = loaded(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

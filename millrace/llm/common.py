@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -10,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,31 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+_owner = ""
+_releases: list[Callable[[], None]] = []
+
+
+def on_release(f: Callable[[], None]) -> None:
+    """``f`` empties what a module keeps in a Python worker from task to task."""
+    _releases.append(f)
+
+
+def claim(owner: str) -> None:
+    """In a Python worker: memory that other operators have kept there, which workers outlive, is given back."""
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
+    for f in _releases:
+        f()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def keep(df: DataFrame, what: str, width: int | None = None) -> tuple[DataFrame, str]:
     """``df`` as a written table in the shared folder, and its path for ``forget``.
 
@@ -125,6 +153,7 @@ def maybe_in(hashes: DataFrame) -> Callable[[Column], Column]:
 
     @F.pandas_udf("boolean")
     def test(x: pd.Series, y: pd.Series) -> pd.Series:
+        claim("filter")
         found = True
         for s in (x, y):
             i = s.to_numpy(np.int64)

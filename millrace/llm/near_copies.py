@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bound_batches, forget, keep, maybe_in, text_or_empty
+from millrace.llm.common import bound_batches, claim, forget, keep, maybe_in, text_or_empty
 from millrace.llm.components import components
 
 WORDS, SIMILARITY, BUDGET = 5, 0.8, 23
@@ -205,6 +205,7 @@ class _Search:
         at_least = 3 if self.every > 1 else 2
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("simhash")
             for batch in batches:
                 for node, t in zip(batch.column(0).to_numpy(), batch.column(1)):
                     found = shingles(t.as_py())
@@ -224,6 +225,7 @@ class _Search:
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """kind 0: an entry of a group; 1: a member of one known to be large; 2: a pair (h, node) of such a one."""
+            claim("simhash")
             keys, counts, centres, centre_n = common.value
             seen: set[int] = set()
             for batch in batches:
@@ -251,6 +253,7 @@ class _Search:
                 yield _batch(np.concatenate(out), columns)
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("simhash")
             for got in _sorted_groups(batches, 2):
                 out = []
                 for kind in (1, 2):
@@ -287,6 +290,7 @@ class _Search:
         held = self.texts.where(maybe_in(nodes)(F.col("node"))).join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("simhash")
             for batch in batches:
                 found = [shingles(t.as_py()) for t in batch.column(1)]
                 own = [pa.array([len(x) for x in found], pa.int64()), pa.array([simhash(x) for x in found], pa.int64()), pa.array([bitmap(x) for x in found], pa.binary())]
@@ -301,6 +305,7 @@ class _Search:
         near = pairs.join(side("a", 0), "a").join(side("b", 1), "b").where((F.bit_count(F.col("fp0").bitwiseXOR(F.col("fp1"))) <= BUDGET) & (F.least("n0", "n1") >= at_least * F.greatest("n0", "n1") - 1e-9))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("simhash")
             for batch in batches:
                 if batch.num_rows:
                     x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (3, 4))
@@ -314,6 +319,7 @@ class _Search:
         both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("simhash")
             for batch in batches:
                 yes = [similar(shingles(x.as_py()), shingles(y.as_py()), at_least) for x, y in zip(batch.column(2), batch.column(3))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
@@ -336,6 +342,7 @@ class _Search:
         probes = rows.where("label <> most").select("h", F.explode(F.expr("sequence(0, s - 1)")).alias("i"), "j", F.lit(1).alias("side"), "node", "label", "n", "fp", "bits")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("simhash")
             def chunks() -> Iterator[pa.Table]:
                 held: list[pa.RecordBatch] = []
                 for batch in batches:

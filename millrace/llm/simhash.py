@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bound_batches, forget, keep, table, text_or_empty
+from millrace.llm.common import bound_batches, claim, forget, keep, table, text_or_empty
 from millrace.llm.components import components
 
 RADIUS, WORDS = 4, 4
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = source.select("id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], ["id", "text_hash", "fp"])
@@ -191,6 +192,7 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = ROOT) -> DataFrame:
     starts = np.array([a for a, _ in blocks], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         held: list[np.ndarray] = []
 
         def edges(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

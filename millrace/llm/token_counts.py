@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import WHITE, Bpe, _Chunks, loaded
-from millrace.llm.common import bound_batches, keep, public_vocabulary, read_vocabulary, table, text_or_empty
+from millrace.llm.common import bound_batches, claim, keep, public_vocabulary, read_vocabulary, table, text_or_empty
 
 HOT, HOT_BYTES, EVERY = 1 << 19, 64, 8
 #: Distinct words a task keeps while it looks for common ones, and how many of them it reports.
@@ -92,6 +92,7 @@ def common_pre_tokens(docs: DataFrame, codec_data, hot: int) -> dict[str, int]:
     """Tokens of each of the ``hot`` commonest pre-tokens, more or less; docs: one column, the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         codec, seen = loaded(codec_data.value), Counter()
 
         def report() -> pa.RecordBatch:
@@ -133,6 +134,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per document with its common pre-tokens' sum, and one per other pre-token with its frequency."""
+        claim("bpe")
         known = Known(loaded(codec_data.value), common.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -150,6 +152,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         codec = loaded(codec_data.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(codec.piece_count, batch.column(0).to_pylist()), pa.int64())], ["piece", "tokens"])

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bound_batches, forget, keep, table, text_or_empty
+from millrace.llm.common import bound_batches, claim, forget, keep, table, text_or_empty
 
 SAMPLE, OWN_BYTES, SHARED_BYTES = 50_000, 1 << 18, 1 << 20
 WINDOW, ERRORS = 16, 3.0
@@ -158,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     @F.pandas_udf("array<double>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("toxicity")
         for texts in batches:
             yield pd.Series(list(sent.value.features(texts.tolist())), dtype=object)
 
@@ -173,6 +174,7 @@ def scores(model: Model, spark: SparkSession, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("toxicity")
         for texts in batches:
             yield pd.Series(shared.value.score(texts.tolist()), dtype=float)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import scratch, table, text_or_empty
+from millrace.llm.common import forget, keep, scratch, table, text_or_empty
 
 ARCHIVE_BYTES = 16 << 20
 
@@ -34,18 +34,21 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*(F.substring(letters, F.shiftright(g, s).bitwiseAND(31) + 1, F.lit(1)) for g in groups for s in (15, 10, 5, 0)))
 
 
-def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Headers of ``pages`` (page_id, payload): one row per page id and digest of those that revisit another page."""
-    headers = pages.select("page_id", base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").alias("bytes")).where(F.col("bytes") >= min_bytes)
+def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """Of ``headers`` (page_id, digest, bytes) one row per page id and digest of those that revisit another page."""
+    headers = headers.where(F.col("bytes") >= min_bytes)
     first = headers.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").select("digest", "refers_to")
     return headers.join(first, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str = "2000-01-01T00:00:00Z") -> None:
     """Writes a record per row of ``pages`` (page_id, url, html) below ``path``."""
+    spark = pages.sparkSession
     rows = pages.select("page_id", "url", text_or_empty("html").alias("payload"))
-    total = rows.agg(F.sum(F.octet_length("payload") + F.lit(400))).first()[0] or 0
-    revisits = resolve(rows, min_bytes)
+    # payloads are read once for the headers, and once to be written
+    headers, at_headers = keep(rows.select("page_id", base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").alias("bytes")), "headers")
+    total = headers.agg(F.sum(F.col("bytes") + F.lit(400))).first()[0] or 0
+    revisits, at_revisits = keep(resolve(headers, min_bytes), "revisits", spark.sparkContext.defaultParallelism)
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).repartition(max(1, -(-total // archive_bytes)), "page_id", "digest")
     rows = rows.join(revisits, ["page_id", "digest"], "left")
     revisit = F.col("refers_to").isNotNull()
@@ -61,6 +64,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int =
         line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"), body,
     )
     rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    forget(spark, at_headers, at_revisits)
 
 
 def plain(data: bytes) -> bytes:
@@ -111,8 +115,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    records = read(spark, path)
-    responses = records.where("record_type = 'response'").select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    # the archives are parsed once; of a payload its length and digest are kept
+    found = read(spark, path).select("page_id", "record_type", "digest", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    records, _ = keep(found, "records")
+    forget(spark, path)
+    responses = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     revisits = records.where("record_type = 'revisit'").select("page_id", "digest", "refers_to")
     asked = revisits.select(F.col("refers_to").alias("asked"), "digest").distinct()
     originals = responses.select(F.col("page_id").alias("original"), "payload_bytes", "payload_digest").distinct()
