@@ -16,15 +16,13 @@ from pyspark.sql import types as T
 from millrace.errors import PipelineError
 from millrace.functions import patterns
 from millrace.functions.table import Env, Settings, Typed, lower
-from millrace.operators import ordered, prev
+from millrace.operators import hashing, ordered, prev
 from millrace.plans.lexer import Token, split_commas, tokens
 from millrace.plans.parser import Node, parse
 from millrace.session import child, cut, moved
 from millrace.types import SPARK, TEXTUAL, default, enter, from_text, key, split_heading, to_text
 
 HIDDEN = "__o"
-# The start and the prime of 64-bit FNV-1a, the start as a signed number.
-FNV_START, FNV_PRIME = -3750763034362895579, 1099511628211
 
 
 def _column(name: str) -> Column:
@@ -343,41 +341,26 @@ class Flow:
             raise PipelineError("the two have headings in common", "rel.join.consistent_hash")
         from pyspark.sql import Window as W
 
-        def folded(start: Column, data: Column) -> Column:
-            digits = F.hex(data)
-
-            def nibble(i: Column) -> Column:
-                code = F.ascii(F.substring(digits, i, F.lit(1)))
-                return code - F.when(code > 64, 55).otherwise(48)
-
-            octets = F.when(digits == "", F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)))
-            return F.aggregate(octets, start, lambda h, i: h.bitwiseXOR((nibble(i) * 16 + nibble(i + 1)).cast("long")) * F.lit(FNV_PRIME).cast("long"))
-
         def point(tags: dict[str, str], probe: Column | None = None) -> Column:
-            h = folded(F.lit(FNV_START).cast("long"), F.concat(*(to_text(_column(c), t).cast("string").cast("binary") for c, t in tags.items())))
-            if probe is None:  # eight zero bytes
-                power = pow(FNV_PRIME, 8, 1 << 64)
-                return h * F.lit(power - (power >> 63 << 64)).cast("long")
-            # the counter's bytes, the lowest first
-            for i in range(8):
-                h = h.bitwiseXOR(F.shiftrightunsigned(probe, 8 * i).bitwiseAND(F.lit(255).cast("long"))) * F.lit(FNV_PRIME).cast("long")
-            return h
+            """On the ring, in the order of signed numbers."""
+            data = F.concat(*(to_text(_column(c), t).cast("string").cast("binary") for c, t in tags.items()))
+            return hashing.fnv(data, F.lit(0).cast("long") if probe is None else probe).bitwiseXOR(F.lit(-(1 << 63)))
 
         # equal rows probe on: the n-th of them has the point of probe n
         by = W.partitionBy(*map(_column, other.tags)).orderBy(*(ordered.directed(list(other.order)) or [F.lit(0)]))
         right = other.rows.withColumn("__probe", (F.row_number().over(by) - 1).cast("long"))
-        right = right.select(point(other.tags, F.col("__probe")).bitwiseXOR(F.lit(-(1 << 63))).alias("__point"), F.struct(*map(_column, other.tags)).alias("__right"), F.lit(None).cast(T.StructType([self.rows.schema[c] for c in (*self.tags, *(o for o, _ in self.order))])).alias("__left"))
-        left = self.rows.select(point(self.tags).bitwiseXOR(F.lit(-(1 << 63))).alias("__point"), F.lit(None).cast(right.schema["__right"].dataType).alias("__right"), F.struct(*map(_column, (*self.tags, *(o for o, _ in self.order)))).alias("__left"))
-        first = right.orderBy("__point").select("__right", F.to_json("__right").alias("j")).first()
+        right = cut(right.select(point(other.tags, F.col("__probe")).alias("__point"), *map(_column, other.tags)).dropDuplicates(["__point"]))
+        first = right.agg(F.min("__point")).first()[0]
         if first is None:
             raise PipelineError("the right side is empty", "rel.join.consistent_hash")
-        both = right.unionByName(left).withColumn("__turn", F.when(F.col("__right").isNotNull(), 0).otherwise(1))
-        rows = ordered.ranged(cut(both), [("__point", False), ("__turn", True)])
-        kind = right.schema["__right"].dataType
-        rows = ordered.last_marked(rows, F.to_json("__right"), "__found", "string").where("__left is not null")
-        found = F.from_json(F.coalesce("__found", F.lit(first.j)), kind)
-        rows = rows.select("__left.*", found.alias("__r"))
-        return replace(self, rows=rows.select(*map(_column, self.tags), *(F.col("__r")[c].alias(c) for c in other.tags), *(F.col(o) for o, _ in self.order)), tags={**self.tags, **other.tags})
+        hidden = [o for o, _ in self.order]
+        left = self.rows.select(point(self.tags).alias("__at_point"), F.lit(1).alias("__turn"), F.struct(*map(_column, (*self.tags, *hidden))).alias("__left"))
+        marks = right.select(F.col("__point").alias("__at_point"), F.lit(0).alias("__turn"), F.lit(None).cast(left.schema["__left"].dataType).alias("__left"))
+        rows = ordered.ranged(marks.unionByName(left), [("__at_point", False), ("__turn", True)])
+        # only points are handed on; the rows that they stand for are joined afterwards
+        rows = ordered.last_marked(rows, F.when(F.col("__turn") == 0, F.col("__at_point")), "__found", "bigint").where("__turn = 1")
+        found = rows.select("__left.*", F.coalesce("__found", F.lit(first)).alias("__point")).join(right, "__point")
+        return replace(self, rows=found.select(*map(_column, self.tags), *map(_column, other.tags), *(F.col(o) for o in hidden)), tags={**self.tags, **other.tags})
 
     # -- aggregation -----------------------------------------------------------------------------
     def group(self, aggregate: str, heading: str | None = None) -> Flow:
