@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of
 ``documents``; the last returns digests of the ids and of the text decoded from them.
+
+Edge cases: null and empty texts are never toxic, lose no lines and match no benchmark item; those and texts without words
+are near copies of each other, so one of them stays. A null doc_id has no label, comes before others, and
+documents that share a doc_id go together only where the benchmark leaks into one. Of rows that repeat a doc_id and text one
+stays. Between near copies the least doc_id stays. Empty tables of documents, labels or benchmark are taken as
+such: nothing is toxic without labels, nothing leaks without items. Very long texts are worked on whole. Further columns
+pass through the stages but the last; names that start with ``_tx_``, ``_ld_``, ``_nc_`` and ``_dc_`` are reserved.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import encode_decode
-from millrace.llm.common import scratch, table
+from millrace.llm.common import forget, scratch, table
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.line_dedup import drop_repeated_lines
 from millrace.llm.near_copies import keep_one
@@ -45,9 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            forget(spark, last)  # the next stage reads what has just been written
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -53,7 +53,7 @@ _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 #: White space next to a blank; without it, every blank starts a piece.
 _RUN = regex.compile(rf" [{WHITE}\x1c-\x1f]|[{WHITE}\x1c-\x1f] ")
 #: Entries of a worker's cache, which is emptied when full, and the longest text that is kept in it.
-CACHE, CACHED_LENGTH = 1 << 18, 64
+CACHE, CACHED_LENGTH = 1 << 17, 64
 
 
 def byte_symbols() -> list[str]:
@@ -109,8 +109,9 @@ class Bpe:
         self.joined = spec["decoder"] is None
         self.by_words = bool(self.suffix)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known_pieces = _Chunks(self.piece_ids)
-        self.known_chunks = _Chunks(lambda chunk: b"".join(map(self.known_pieces.__getitem__, self.pieces(chunk))))
+        self.known_chunks = _Chunks(self.chunk_ids)
+        # a word's pieces are such words themselves
+        self.known_pieces = self.known_chunks if self.by_words else _Chunks(self.piece_ids)
 
     def merge(self, symbols: list[int]) -> int:
         """Does all merges, lowest rank first and leftmost first among equals, and gives their number; -1 stands for what has gone.
@@ -151,6 +152,10 @@ class Bpe:
         symbols = self.symbols(piece)
         return array("I", [s for s in symbols if s >= 0] if self.merge(symbols) else symbols).tobytes()
 
+    def chunk_ids(self, chunk: str) -> bytes:
+        found = self.pieces(chunk)
+        return self.piece_ids(chunk) if len(found) == 1 and found[0] == chunk else b"".join(map(self.known_pieces.__getitem__, found))
+
     def piece_count(self, piece: str) -> int:
         """Number of the piece's tokens."""
         symbols = self.symbols(piece)

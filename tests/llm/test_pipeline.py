@@ -38,5 +38,21 @@ def test_every_stage_but_the_last_keeps_the_columns(spark):
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
 
 
+def test_nulls_repeats_ties_and_other_columns(spark, tmp_path):
+    long = " ".join(f"w{i % 997}x{i}" for i in range(30_000))
+    rows = [(None, "some words of a document without an id"), (None, None), (1, ""), (2, "  \t"), (3, "the same text in two rows"), (3, "the same text in two rows"), (4, "the same text in two rows"), (5, long), (6, "bench1 bench2 bench3 bench4 bench5 bench6 bench7")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' as lang", "'s' as source", "bigint(length(text)) as n_chars", "1 as node", "'x' as label", "2 as row", "3 as score", "4 as h", "5 as item_id")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (None, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, "bench1 bench2 bench3 bench4 bench5 bench6 bench7"), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns
+    assert sorted((r.doc_id or -1, (r.text or "")[:8]) for r in out.collect()) == [(-1, ""), (-1, "some wor"), (3, "the same"), (5, "w0x0 w1x")]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens > 0) for r in got) == [(-1, False), (-1, True), (3, True), (5, True)]
+
+
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
