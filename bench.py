@@ -1,5 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one line of JSON with the seconds of each.
 
+The machine is told with them: its cores, the load on it when the bench began, and the milliseconds of a fixed loop
+before and after, by which runs on different machines, or on a busy one, can be told apart.
+
 Each query runs once to warm up, then as often as $BENCH_RUNS says (3), and its median counts.
 """
 
@@ -21,7 +24,18 @@ HEADLINES = [
 ]
 
 
+def loop_ms() -> float:
+    """The best of five runs of a fixed loop."""
+    took = []
+    for _ in range(5):
+        began = time.perf_counter()
+        sum(range(2_000_000))
+        took.append((time.perf_counter() - began) * 1000)
+    return round(min(took), 1)
+
+
 def main() -> None:
+    machine = {"cores": os.cpu_count(), "load": round(os.getloadavg()[0], 2), "loop_ms": [loop_ms()]}
     sf_dir, cpus, runs = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "3"))
     with tempfile.TemporaryDirectory() as folder:
         conf = {"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "8g", "spark.checkpoint.dir": f"file://{folder}"}
@@ -36,7 +50,8 @@ def main() -> None:
                 took.append(time.perf_counter() - began)
             seconds[name] = round(statistics.median(took[1:]), 3)
         spark.stop()
-    print(json.dumps({"metric": "total seconds of the headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    machine["loop_ms"].append(loop_ms())
+    print(json.dumps({"metric": "total seconds of the headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cpus": cpus, "runs": runs, "machine": machine}))
 
 
 if __name__ == "__main__":
