@@ -17,7 +17,7 @@ What is left of large groups are pairs of texts in different components. A group
 chunks: those of its commonest component stay, all others meet each chunk. In a chunk the two sides' tries of fingerprints
 are traversed together, pairs of nodes are pruned whose common bits differ too often or below which all is one
 component, and pairs within the budget are checked by bitmaps, in which each shingle turns one of ``BITS`` bits: shingles
-that only one text has number at least the bits that differ. Twice only a spanning forest of a chunk's pairs
+that only one text has number at least the bits that differ. At first only a spanning forest of a chunk's pairs
 is compared exactly, which joins most components; then all pairs that are left are.
 
 Edge cases: of a text with fewer than five words the whole is the only shingle; null, empty and blank
@@ -326,8 +326,8 @@ class _Search:
 
         return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
-    def across(self, members: DataFrame, label: DataFrame, only_forest: bool) -> DataFrame | None:
-        """Possible pairs of large groups in different components, None where there is no such group."""
+    def across(self, members: DataFrame, label: DataFrame, only_forest: bool) -> tuple[DataFrame, str] | None:
+        """Possible pairs of large groups in different components, and where they are kept; None where there is no such group."""
         at_least, chunk = self.at_least, self.chunk
         rows, at = keep(members.join(label, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"), "n", "fp", "bits"), "members")
         by_label = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"))
@@ -380,7 +380,7 @@ class _Search:
                     yield _batch(_pairs(node[found[:, 0]], node[found[:, 1]])[:, 1:3], ["a", "b"])
 
         key = ["h", "i", "j"]
-        out, at_out = keep(base.unionByName(probes).repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(run, "a bigint, b bigint").distinct(), "across")
+        out = keep(base.unionByName(probes).repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(run, "a bigint, b bigint").distinct(), "across")
         forget(self.spark, at, at_groups)
         return out
 
@@ -389,19 +389,28 @@ class _Search:
         found, at_found = self.candidates()
         pairs, members = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("h"))
         sketches, at_sketches = self.sketched(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct())
-        tried, _ = keep(self.possible(pairs, sketches), "possible")
-        edges, _ = keep(self.verified(tried, sketches), "links")
+        made = [at_found, at_sketches]
+
+        def kept(df: DataFrame, what: str) -> DataFrame:
+            out, at = keep(df, what, self.width)
+            made.append(at)
+            return out
+
+        tried = kept(self.possible(pairs, sketches), "possible")
+        edges = kept(self.verified(tried, sketches), "links")
         label = components(edges)
         members = members.join(sketches.drop("text"), "node")
-        for only_forest in (True, True, False):
-            more = self.across(members, label, only_forest)
-            if more is None:
+        for only_forest in (True, False):
+            found = self.across(members, label, only_forest)
+            if found is None:
                 break
+            more, at = found
+            made.append(at)
             more = more.join(tried, ["a", "b"], "left_anti")
-            links, _ = keep(self.verified(more, sketches), "links")
+            links = kept(self.verified(more, sketches), "links")
             tried, edges = tried.unionByName(more), edges.unionByName(links)
             label = components(edges)
-        forget(self.spark, at_found, at_sketches)
+        forget(self.spark, *made)
         return label
 
 
@@ -425,9 +434,9 @@ def keep_one(docs: DataFrame, **more) -> DataFrame:
     marked = docs.withColumn("_nc_node", _node(text_or_empty())).withColumn("_nc_row", F.xxhash64("doc_id", text_or_empty()))
     rows = marked.select("doc_id", F.col("_nc_node").alias("node"), F.col("_nc_row").alias("row"))
     by_label = rows.join(label, "node", "left").select("doc_id", "row", "node", F.coalesce("label", "node").alias("label"))
-    first = by_label.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("x"), F.count(F.lit(1)).alias("k"))
+    first = by_label.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("x"))
     # documents that are alone stay where they are; only the others are dealt out
-    involved = by_label.join(first.where("k > 1").select("label"), "label", "left_semi").select("node").distinct()
+    involved = label.select("node").unionByName(rows.groupBy("node").count().where("count > 1").select("node"))
     both = marked.withColumn("_nc_shared", maybe_in(involved)(F.col("_nc_node")))
     stay, _ = keep(first.select(F.col("x.row").alias("_nc_kept")).distinct(), "stay")
     forget(docs.sparkSession, at_label)

@@ -157,7 +157,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(codec.piece_count, batch.column(0).to_pylist()), pa.int64())], ["piece", "tokens"])
 
-    found, _ = keep(source.select("id", F.xxhash64("text").alias("key"), "text").mapInArrow(frequencies, schema), "frequencies")
+    found, _ = keep(source.select("id", F.xxhash64("text").alias("key"), "text").mapInArrow(frequencies, schema), "frequencies", 4 * sc.defaultParallelism)
     others = found.where("piece is not null")
     tokens = others.select("piece").distinct().mapInArrow(count, "piece string, tokens bigint")
     zero = F.lit(0).cast("bigint")
