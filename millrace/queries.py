@@ -410,4 +410,6 @@ def streamed(name: str, step: Callable, sql: str) -> None:
 streamed("stream_stateless", lambda f, *_: (f.where("event_type = 'click'").select("event_id, value * 2.0 as v"), "append"), "SELECT event_id, value * 2.0::DOUBLE AS v FROM events WHERE event_type = 'click'")
 streamed("stream_static_join", lambda f, spark, sf: (f.select("event_id, user_id").join_natural(flow(spark, sf, "customer").select("c_custkey as user_id, c_name")), "append"), "SELECT event_id, user_id, c_name FROM events JOIN customer ON user_id = c_custkey")
 streamed("stream_unique", lambda f, *_: (streaming.unique(f.select("event_type, user_id")), "append"), "SELECT DISTINCT event_type, user_id FROM events")
+streamed("stream_rownum", lambda f, *_: (streaming.fold(f.select("event_id"), [], "_rownum as uint:n"), "append"), "SELECT range AS n FROM range(1, (SELECT count(*) + 1 FROM events))")
+streamed("stream_fold", lambda f, *_: (streaming.fold(f.where("event_id % 10 = 0").select("event_id, user_id"), ["user_id"], "_rownum as uint:n"), "append"), "SELECT user_id, row_number() OVER (PARTITION BY user_id) AS n FROM events WHERE event_id % 10 = 0")
 streamed("stream_group", lambda f, *_: (f.select("event_type, user_id").group("sum", "user_id"), "complete"), "SELECT event_type, sum(user_id)::BIGINT AS _sum FROM events GROUP BY 1")

@@ -48,7 +48,10 @@ def tumbling(flow: Flow, event_time: str, width: str, aggregate: str, heading: s
 
 
 def fold(flow: Flow, by: list[str], outputs: str) -> Flow:
-    """``select`` with references to the previous row, per key, in order of arrival; the state is one row a key."""
+    """``select`` with ``_rownum`` and references to the previous row, per key, in order of arrival; the state is one row a key.
+
+    Without keys it goes over all rows, one after the other, as numbering a whole stream has to.
+    """
     parsed = [Flow._output(p) for p in split_commas(tokens(outputs))]
     if any(tag is None for _, tag, _ in parsed):
         raise PipelineError("each output needs a type, as in 'x + prev.s as int:s'", "streaming.fold")
@@ -71,5 +74,5 @@ def fold(flow: Flow, by: list[str], outputs: str) -> Flow:
             yield pd.DataFrame(out, columns=schema.names)
         held.update((number, *previous.values()))
 
-    rows = flow.rows.groupBy(*by).applyInPandasWithState(run, schema, state, "append", "NoTimeout")
+    rows = (flow.rows if by else flow.rows.withColumn("__all", F.lit(0))).groupBy(*(by or ["__all"])).applyInPandasWithState(run, schema, state, "append", "NoTimeout")
     return Flow(rows, {**{c: flow.tags[c] for c in by}, **{n: t for _, t, n in parsed}})
