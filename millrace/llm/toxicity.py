@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary texts, by a cover selection whose segments are
 words with the blank before them: a segment covers what it has in as many texts as have it. Of either class's texts the
-dictionary takes the segments that occur in a larger share of them than of the other class's, by ``ERRORS`` standard errors at
-least, the largest difference first; and nearest to the text, where matches cost least, the segments that both classes
+dictionary takes the segments that occur in a larger share of them than of the other class's, by some standard errors at least (those of ``ERRORS`` that do best on the
+calibrating texts; few texts prove less, and many words differ by chance), the largest difference first; and nearest to the text, where matches cost least, the segments that both classes
 have, the commonest first. Prose therefore costs about the same under both, and what differs is what the classes
 differ in. A text is cut into windows of ``WINDOW`` words. The compressed length of a window under the ordinary dictionary less
 that under the toxic one is its gain; a logistic model calibrated on texts that neither dictionary has
@@ -24,7 +24,7 @@ table gives an empty one; other columns can have any name but those that start w
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import bound_batches, claim, forget, keep, table, text_or_empty
 
 SAMPLE, OWN_BYTES, SHARED_BYTES = 50_000, 1 << 18, 1 << 20
-WINDOW, ERRORS = 16, 3.0
+WINDOW, ERRORS = 16, (3.0, 4.0, 5.0)
 _WORD = re.compile(r"[^\W_]+")
 FEATURES = 7
 
@@ -87,8 +87,8 @@ class Model:
             self._ready = Compressor(self.ordinary), Compressor(self.toxic)
         return np.array([features(t, *self._ready) for t in texts], float).reshape(-1, FEATURES)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression by Newton's method with a small ridge, then the shift to the best F1 (ties: the highest threshold)."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> float:
+        """Logistic regression by Newton's method with a small ridge, then the shift to the best F1 (ties: the highest threshold), which is returned."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         a = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
         w = np.zeros(a.shape[1])
@@ -107,6 +107,7 @@ class Model:
         after = z[order][k + 1] if k + 1 < len(z) else z[order][k] - 1
         w[-1] -= (z[order][k] + after) / 2
         self.weights = w
+        return float(f1[k])
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.weights is None:
@@ -148,12 +149,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     each = train.select("toxic", F.explode_outer(words).alias("word")).where("word is not null")
     share = each.groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("k")).select("word", (F.col("t") / n[1]).alias("p"), ((F.col("k") - F.col("t")) / n[0]).alias("q"), "k")
     error = lambda of, na, other, nb: F.sqrt(F.col(of) / na + (F.col(other) + 1 / nb) / nb)
-    more = (F.col("p") - F.col("q")) / error("p", n[1], "q", n[0]), (F.col("q") - F.col("p")) / error("q", n[0], "p", n[1])
-    side = F.when(more[0] > ERRORS, "toxic").when(more[1] > ERRORS, "ordinary").when(F.col("k") >= 3, "shared")
-    share, at_share = keep(share.withColumn("side", side).where("side is not null"), "segments")
-    shared = _first(share.where("side = 'shared'"), F.col("k"), SHARED_BYTES)
-    own = {s: _first(share.where(F.col("side") == s), F.abs(F.col("p") - F.col("q")), OWN_BYTES) for s in ("ordinary", "toxic")}
-    model = Model(content(own["ordinary"], shared), content(own["toxic"], shared))
+    share = share.withColumn("toxic", (F.col("p") - F.col("q")) / error("p", n[1], "q", n[0])).withColumn("ordinary", (F.col("q") - F.col("p")) / error("q", n[0], "p", n[1]))
+    share, at_share = keep(share.where((F.greatest("toxic", "ordinary") > min(ERRORS)) | (F.col("k") >= 3)), "segments")
+    best: tuple[float, Model] | None = None
+    for errors in ERRORS:
+        shared = _first(share.where((F.greatest("toxic", "ordinary") <= errors) & (F.col("k") >= 3)), F.col("k"), SHARED_BYTES)
+        own = {s: _first(share.where(F.col(s) > errors), F.abs(F.col("p") - F.col("q")), OWN_BYTES) for s in ("ordinary", "toxic")}
+        model = Model(content(own["ordinary"], shared), content(own["toxic"], shared))
+        got = held.select("toxic", measuring(spark, model)("text").alias("x")).toArrow()  # numbers of SAMPLE rows at most
+        f1 = model.calibrate(np.array(got.column(1).to_pylist(), float), np.array(got.column(0).to_pylist(), float))
+        if best is None or f1 >= best[0]:
+            best = f1, model
+    forget(spark, at_sample, at_rows, at_share)
+    return best[1]
+
+
+def measuring(spark: SparkSession, model: Model) -> Callable:
+    """A function of columns that gives texts' features."""
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")
@@ -162,10 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for texts in batches:
             yield pd.Series(list(sent.value.features(texts.tolist())), dtype=object)
 
-    got = held.select("toxic", measured("text").alias("x")).toArrow()  # numbers of SAMPLE rows at most
-    model.calibrate(np.array(got.column(1).to_pylist(), float), np.array(got.column(0).to_pylist(), float))
-    forget(spark, at_sample, at_rows, at_share)
-    return model
+    return measured
 
 
 def scores(model: Model, spark: SparkSession, text: Column) -> Column:
