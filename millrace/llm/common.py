@@ -43,13 +43,6 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/millrace/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, with its lineage cut."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 #: Bytes of rows that go to a Python worker at a time, more or less.
 BATCH_BYTES = 8 << 20
 
