@@ -48,7 +48,7 @@ class Compressor:
     """Compressed lengths of windows under a dictionary of raw content."""
 
     def __init__(self, content: bytes):
-        params = zstandard.ZstdCompressionParameters(window_log=22, chain_log=20, hash_log=20, search_log=7, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False)
+        params = zstandard.ZstdCompressionParameters(window_log=22, chain_log=20, hash_log=20, search_log=4, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False)
         words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         words.precompute_compress(compression_params=params)
         self.compress = zstandard.ZstdCompressor(compression_params=params, dict_data=words).compress
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         shared = _first(share.where((F.greatest("toxic", "ordinary") <= errors) & (F.col("k") >= 3)), F.col("k"), SHARED_BYTES)
         own = {s: _first(share.where(F.col(s) > errors), F.abs(F.col("p") - F.col("q")), OWN_BYTES) for s in ("ordinary", "toxic")}
         model = Model(content(own["ordinary"], shared), content(own["toxic"], shared))
-        got = held.select("toxic", measuring(spark, model)("text").alias("x")).toArrow()  # numbers of SAMPLE rows at most
+        got = held.select("toxic", measuring(spark, model, f"toxicity at {errors}")("text").alias("x")).toArrow()  # numbers of SAMPLE rows at most
         f1 = model.calibrate(np.array(got.column(1).to_pylist(), float), np.array(got.column(0).to_pylist(), float))
         if best is None or f1 >= best[0]:
             best = f1, model
@@ -164,13 +164,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return best[1]
 
 
-def measuring(spark: SparkSession, model: Model) -> Callable:
-    """A function of columns that gives texts' features."""
+def measuring(spark: SparkSession, model: Model, name: str) -> Callable:
+    """A function of columns that gives texts' features; under its name workers give back what other models took."""
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        claim("toxicity")
+        claim(name)
         for texts in batches:
             yield pd.Series(list(sent.value.features(texts.tolist())), dtype=object)
 
