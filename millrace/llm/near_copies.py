@@ -6,7 +6,8 @@ A text is the set of its five-word shingles (words are what blanks of ASCII part
 differ in 10 bits on average with a deviation of 3, so the error budget has to be ``BUDGET`` bits, and blocks of bits, which
 lead to the tries at 4 bits, would part nothing. Here shared shingles do that.
 
-No pair is missed (prefix filtering): in one order of all shingles, two sets of sizes n and m that are so
+Grouping misses no pair (prefix filtering; the budget itself lies over four deviations above the average, so a pair of
+exactly 0.8 is lost about once in 100,000): in one order of all shingles, two sets of sizes n and m that are so
 similar share one among the first n - ceil(0.8 n) + 1 of the one and m - ceil(0.8 m) + 1 of the other. The
 order puts shingles that a sample of one text in ``EVERY`` repeats behind all others, which keeps
 groups small; any order is right. Texts that share a shingle of a prefix are candidates: in a group of at most ``SMALL``
