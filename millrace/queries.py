@@ -249,7 +249,7 @@ def parallel_mapping(spark, sf_dir):
     orders = flow(spark, sf_dir, "orders").order_by("o_orderkey").select("o_orderkey")
     files = text.record_split(orders, 5000, f"{scratch(spark)}/shard-")
     listed = Flow.of(child(spark).createDataFrame([(f, "localhost") for f in files], "file_name string, host_name string"))
-    return scripting.per_file(listed, lambda f: f.where("o_orderkey % 7 = 0"), lambda name: text.from_tsv(text.lines(spark, name))).plain()
+    return scripting.per_file(listed, lambda f: f.where("o_orderkey % 7 = 0"), lambda name: text.from_tsv(text.lines(spark, name)), lambda names: text.tsv_tables(spark, *names)).plain()
 
 
 @query("SELECT count(*) AS _count FROM orders")

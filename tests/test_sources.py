@@ -76,6 +76,40 @@ def test_listing_and_split(spark, tmp_path, flow_of):
     assert [len(listed(text.from_tsv(text.lines(spark, m)))) for m in made] == [10, 10, 5]
 
 
+def test_tables_of_many_files(spark, tmp_path):
+    """By one scan the same as file by file: lines that look like headings stay, files with other headings go by themselves."""
+    made = [write(tmp_path, body, f"{i}.tsv") for i, body in enumerate(["string:a\tint:b\nx\t1\nstring:a\t2\n", "string:a\tint:b\n", "string:a\tint:b\ny\t3\ny\t3\n", "int:b\tstring:a\n4\tz\n"])]
+    (tmp_path / "d").mkdir()
+    write(tmp_path / "d", "string:a\tint:b\nu\t5\n", "0")
+    write(tmp_path / "d", "v\t6\n", "1")
+    made.append(f"{tmp_path}/d")
+    alone = [sorted((r["a"], r["b"]) for r in text.from_tsv(text.lines(spark, m)).df().collect()) for m in made]
+    found = text.tsv_tables(spark, *made)
+    assert len(found) == 2
+    assert sorted((r["a"], r["b"]) for f in found for r in f.df().collect()) == sorted(sum(alone, []))
+    assert sum(f.rows.count() for f in text.tsv_tables(spark, made[0], made[0])) == 4
+    with pytest.raises(PipelineError):
+        text.tsv_tables(spark, made[0], write(tmp_path, "", "empty.tsv"))
+
+
+def test_per_file_takes_many_files_at_once(spark, tmp_path, flow_of):
+    from millrace.operators import scripting
+
+    made = text.record_split(flow_of(["int:x"], [(i,) for i in range(25)]), 10, f"{tmp_path}/s-")
+    named = flow_of(["string:file_name", "string:host_name"], [(m, "h") for m in made])
+    opened = []
+
+    def read(name):
+        opened.append(name)
+        return text.from_tsv(text.lines(spark, name))
+
+    mapped = lambda step: sorted(listed(scripting.per_file(named, step, read, lambda names: text.tsv_tables(spark, *names))))
+    assert mapped(lambda f: f.where("x % 7 = 0").select("x + 1 as y")) == [(1,), (8,), (15,), (22,)] and not opened
+    assert mapped(lambda f: f.record_count()) == [(5,), (10,), (10,)] and len(opened) == 3
+    assert mapped(lambda f: f.where("_rownum = 2U")) == [(1,), (11,), (21,)]
+    assert mapped(lambda f: f.select("x, prev.s + x as int:s").where("x > 23 || x = 10")) == [(10, 10), (24, 110)]
+
+
 def test_scripts_files_and_macros(spark, tmp_path):
     path = write(tmp_path, "string:name\tint:v\na\t1\nb\t2\n", "in.tsv")
     (tmp_path / "keep").write_text("$1($2);")
