@@ -256,7 +256,7 @@ def parallel_mapping(spark, sf_dir):
 def record_split(spark, sf_dir):
     orders = flow(spark, sf_dir, "orders").order_by("o_orderkey").select("o_orderkey, o_orderstatus")
     files = text.record_split(orders, 10_000, f"{scratch(spark)}/shard-")
-    first, *rest = [text.from_tsv(text.lines(spark, f)) for f in files]
+    first, *rest = text.tsv_tables(spark, *files)
     for r in rest:
         first = first.union(r)
     return first.record_count().plain()

@@ -29,3 +29,13 @@ def test_query(spark, duck, name):
         names = [d[0] for d in found.description]
         assert sorted(names) == sorted(df.columns)
         assert shown(df.columns, rows) == shown(names, found.fetchall())
+
+
+def test_split_files_are_one_scan(spark, monkeypatch):
+    from millrace.sources import text
+
+    scans, lines = [], text.lines
+    monkeypatch.setattr(text, "lines", lambda *a, **b: scans.append(a) or lines(*a, **b))
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
+    assert orders > 10_000  # so two files at least
+    assert QUERIES["record_split"](spark, "/root/testdata/sf0.01").first()[0] == orders and len(scans) == 1
