@@ -5,9 +5,11 @@ import pytest
 
 from millrace.flow import Flow
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from millrace.errors import PipelineError
 from millrace.functions.table import Settings
+from millrace.operators import ordered
 from millrace.sources import native
 from tests.conftest import listed
 
@@ -225,3 +227,20 @@ def test_medians_by_counts(flow_of):
     assert got == [("a", 4), ("b", 1), ("c", 2)]
     assert listed(flow_of(["uint:v"], [(-1,), (1,), (2,)]).group("median", "v")) == [(2,)]
     assert listed(flow_of(["int:v"], []).group("median", "v")) == []
+
+
+def test_recurrence_sorts_in_many_tasks(spark, flow_of):
+    """The one task of a general recurrence reads sorted ranges, of the columns that it needs alone."""
+    rows = [((i * 7919) % 3000, i, "x" * 50) for i in range(3000)]
+    flow = flow_of(["int:id", "int:v", "string:long"], rows).order_by("id", desc=True)
+    got = flow.select("id, (prev.x * 3 + this.v) % 1000 as int:x, prev.n + prev.n + 1 as int:n")
+    assert len({r[0] for r in got.df().select(F.spark_partition_id()).collect()}) > 1  # by the sort of the result
+    one = ordered.one_task(flow.rows, list(flow.order), [F.col("id")])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan and one.rdd.getNumPartitions() == 1
+    x, want = 0, []
+    for i, v, _ in sorted(rows, reverse=True):
+        x = (x * 3 + v) % 1000
+        want.append((i, x))
+    assert [r[:2] for r in listed(got)] == want
+    assert [r[0] for r in listed(flow.select("prev.n + prev.n + 1 as int:n"))][:4] == [1, 3, 7, 15]
