@@ -191,3 +191,19 @@ def test_time_formats_against_pythons(spark, flow_of, form):
     moments = [datetime(y, m, d, h, 5, 9, tzinfo=timezone.utc) for y, m, d, h in ((2023, 1, 1, 0), (2024, 2, 29, 12), (2021, 12, 31, 23), (2000, 7, 9, 13))]
     flow = flow_of(["uint:t"], [(int(t.timestamp()) * 1_000_000,) for t in moments])
     assert [r[0] for r in listed(flow.select(f"time.format(t, '{form}') as s"))] == [t.strftime(form) for t in moments]
+
+
+def test_python_code_does_not_sort_in_its_task(spark, flow_of, monkeypatch):
+    """Code sees all rows in order, though ranges are sorted by many tasks."""
+    from millrace.functions.table import Settings
+    from millrace.operators import ordered, scripting
+
+    ranges = []
+    monkeypatch.setattr(ordered, "ranged", lambda df, order, f=ordered.ranged: ranges.append(f(df, order)) or ranges[-1])
+    rows = [((i * 7919) % 2000,) for i in range(2000)]
+    flow = flow_of(["int:x"], rows, settings=Settings(allow_side_effects=True)).order_by("x")
+    code = "last = -1\nfor r in input_stream:\n    assert r.x == last + 1\n    last = r.x\n    output_stream.write({'y': r.x})"
+    for schema in ({"y": "int"}, None):
+        assert sorted(listed(scripting.python(flow, code, schema))) == [(i,) for i in range(2000)]
+    assert [r.rdd.getNumPartitions() for r in ranges] == [4, 4]
+    assert [r[0] for r in listed(scripting.shell(flow, "cat"))] == ["int:x", *map(str, range(2000))]
