@@ -154,6 +154,26 @@ def test_streaming(spark, tmp_path):
     assert sum(r._count for r in counts) == 30 and len(counts) == 9
 
 
+def test_a_fold_keeps_many_keys_in_few_rows_of_state(spark, tmp_path):
+    keys = [float(i) for i in range(1500)] + [float("nan"), -0.0]
+    df = spark.createDataFrame([(t, k, f"é{k}\n\"", t * 0.1) for t in range(2) for k in keys], "t long, k double, s string, v double")
+    for t in range(2):
+        df.where(f"t = {t}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = streaming.read_parquet(spark, f"{tmp_path}/in", df.schema)
+    found, state = {}, []
+    for name, by in (("double", ["k"]), ("text", ["s", "k"])):
+        query = streaming.fold(source, by, "_rownum as uint:n, prev.x + s as string:x, prev.y + v as double:y").rows.writeStream.format("memory").queryName(f"fold_{name}").trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        found[name] = source.spark.sql(f"select * from fold_{name}").collect()
+        state.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]))
+    assert max(state) <= streaming.BUCKETS
+    got = {repr(r.k).replace("None", "nan"): r for r in found["double"] if r.n == 2 + 2 * (r.k == 0)}  # pandas makes NaN a null
+    assert sorted(got) == sorted(map(repr, keys[:-1])) and len(found["double"]) == 2 * len(keys)
+    assert all(r.x == f"é{k}\n\"" * 2 and r.y == 0.1 for k, r in got.items() if r.k != 0)
+    assert sorted(r.n for r in found["double"] if r.k == 0) == [1, 2, 3, 4]
+    assert sorted((r.n, r.x) for r in found["text"]) == sorted((n, f"é{k}\n\"" * n) for n in (1, 2) for k in keys)
+
+
 def test_native_shards_keep_rows_like_their_headings(spark, tmp_path, flow_of):
     from millrace.sources import native
 
