@@ -1,7 +1,9 @@
 """Byte-pair encoding and decoding.
 
-Merges are taken from a priority queue of ranks over a doubly linked list of symbols; entries
-that an earlier merge has made stale are skipped. Decoding joins vocabulary strings.
+Words are worked out once and kept in a bounded cache. The new ones of some texts are merged together, as rows of a
+matrix of symbols: each round does in each row the merge of lowest rank, the leftmost among equals. In a long piece
+merges are taken from a priority queue of ranks over a doubly linked list of symbols; entries that an earlier merge has
+made stale are skipped. Decoding joins vocabulary strings.
 
 The vocabulary files are those of the ``tokenizers`` library; two kinds are understood:
 
@@ -17,6 +19,7 @@ only the id and text columns are read, so further columns can have any name.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -38,6 +41,7 @@ _NEW_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 #: Lower case that came with Unicode 16 and 17, which Python's str.lower() doesn't know.
 _NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 _NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)} | {ord("Σ"): ord("σ")}
+_HAS_NEW_LOWER = re.compile(f"[{''.join(map(chr, _NEW_LOWER))}]")
 
 
 def _without(kind: str, new: str) -> str:
@@ -47,6 +51,8 @@ def _without(kind: str, new: str) -> str:
 _L, _N = _without("L", _NEW_LETTERS), _without("N", _NEW_NUMBERS)
 _OTHER = f"[^{WHITE}{_L}{_N}]"
 _WORD = regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{_L}+|{_N}|{_OTHER}+")
+#: The same over words with blanks between, which it finds as well.
+_WORDS = regex.compile(f"{_WORD.pattern}| ")
 _BYTE = regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?{_OTHER}+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _SPLIT = regex.compile(f"[{WHITE}]+")
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -54,6 +60,8 @@ _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _RUN = regex.compile(rf" [{WHITE}\x1c-\x1f]|[{WHITE}\x1c-\x1f] ")
 #: Entries of a worker's cache, which is emptied when full, and the longest text that is kept in it.
 CACHE, CACHED_LENGTH = 1 << 17, 64
+#: Bytes up to which pieces are merged as rows of one matrix, its most rows, the rank of pairs without a merge, and the texts that are encoded together.
+WIDTHS, ROWS, NONE, TEXTS = (1, 4, 8, 12, 16, 24, 32, 64), 1 << 14, np.iinfo(np.int32).max, 512
 
 
 def byte_symbols() -> list[str]:
@@ -89,6 +97,33 @@ class _Chunks(dict):
         return out
 
 
+class _Known:
+    """Ids of words, bounded as ``_Chunks`` is, but asked for and worked out many at a time."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def lacking(self, words: set[str]) -> list[str]:
+        """Those that aren't known; ``now`` has all others afterwards."""
+        new = words.difference(self.now)
+        self.now.update({w: self.old[w] for w in new if w in self.old})
+        return [w for w in new if w not in self.old]
+
+    def add(self, words: list[str], ids: list[bytes]) -> None:
+        self.now.update(zip(words, ids))
+        self.long += [w for w in words if len(w) > CACHED_LENGTH]
+
+    def shed(self) -> None:
+        """Between texts: long words go, and a full generation becomes the old one."""
+        for w in self.long:
+            self.now.pop(w, None)
+        self.long = []
+        if len(self.now) >= CACHE:
+            self.now, self.old = {}, self.now
+
+
 class Bpe:
     def __init__(self, data: bytes):
         spec = json.loads(data)
@@ -106,12 +141,18 @@ class Bpe:
         self.bytes_of = {c: b for b, c in enumerate(byte)}
         self.first_ids = [self.vocab[c] for c in byte]
         self.last_ids = [self.vocab[c + self.suffix] for c in byte]
+        pairs = sorted(self.rank_of)
+        self.pairs = np.array([*pairs, np.iinfo(np.int64).max])
+        self.pair_ranks = np.array([*map(self.rank_of.__getitem__, pairs), NONE], np.int32)
+        self.merged = np.array([both for _, _, both in self.merges], np.int32)
+        self.first, self.last = np.array(self.first_ids, np.int32), np.array(self.last_ids, np.int32)
+        self.inner_ranks, self.end_ranks = (self.ranks(self.first[:, None], x[None, :]) for x in (self.first, self.last))
         self.joined = spec["decoder"] is None
         self.by_words = bool(self.suffix)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known_chunks = _Chunks(self.chunk_ids)
+        self.known_chunks = _Known()
         # a word's pieces are such words themselves
-        self.known_pieces = self.known_chunks if self.by_words else _Chunks(self.piece_ids)
+        self.known_pieces = self.known_chunks if self.by_words else _Known()
 
     def merge(self, symbols: list[int]) -> int:
         """Does all merges, lowest rank first and leftmost first among equals, and gives their number; -1 stands for what has gone.
@@ -144,6 +185,61 @@ class Bpe:
                 heappush(queue, rank << 32 | h)
         return done
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; a right of -1 is none."""
+        keys = left.astype(np.int64) << 32 | right
+        at = self.pairs.searchsorted(keys)
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at], NONE)
+
+    def pieces_ids(self, pieces: list[str]) -> list[bytes]:
+        """``piece_ids`` of many pieces."""
+        data, out, least = [p.encode() for p in pieces], [b""] * len(pieces), 0
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        for width in WIDTHS:
+            rows = np.flatnonzero((sizes > least) & (sizes <= width))
+            least = width
+            for i in range(0, len(rows), ROWS):
+                self.merge_rows(data, rows[i : i + ROWS], sizes[rows[i : i + ROWS]], width, out)
+        for i in np.flatnonzero(sizes > least).tolist():
+            out[i] = self.piece_ids(pieces[i])
+        return out
+
+    def merge_rows(self, data: list[bytes], rows: np.ndarray, sizes: np.ndarray, width: int, out: list[bytes]) -> None:
+        """Does all merges of the pieces ``rows`` of ``data``, one of each piece in a round, and puts their ids into ``out``."""
+        raw = np.frombuffer(b"".join([data[i].ljust(width, b"\0") for i in rows.tolist()]), np.uint8).reshape(-1, width)
+        each, columns, end = np.arange(len(rows)), np.arange(width), sizes - 1
+        last = raw[each, end]
+        symbols = np.where(columns < end[:, None], self.first[raw], np.int32(-1))
+        symbols[each, end] = self.last[last]
+        # the rank of each symbol with the next
+        ranks = np.full(raw.shape, NONE, np.int32)
+        ranks[:, :-1] = np.where(columns[1:] < end[:, None], self.inner_ranks[raw[:, :-1], raw[:, 1:]], NONE)
+        two = np.flatnonzero(end)
+        ranks[two, end[two] - 1] = self.end_ranks[raw[two, end[two] - 1], last[two]]
+        while len(rows):
+            at = ranks.argmin(1)
+            rank = ranks[each, at]
+            done = rank == NONE
+            if done.any():
+                ids = symbols[done][columns < sizes[done, None]].astype("<u4").tobytes()
+                ends = (4 * sizes[done].cumsum()).tolist()
+                for i, a, b in zip(rows[done].tolist(), [0, *ends], ends):
+                    out[i] = ids[a:b]
+                go = ~done
+                rows, sizes, symbols, ranks, at, rank = (x[go] for x in (rows, sizes, symbols, ranks, at, rank))
+                each = each[: len(rows)]
+                if not len(rows):
+                    break
+            sizes, columns = sizes - 1, columns[:-1]
+            symbols = np.where(columns <= at[:, None], symbols[:, :-1], symbols[:, 1:])
+            ranks = np.where(columns < at[:, None], ranks[:, :-1], ranks[:, 1:])
+            both = symbols[each, at] = self.merged[rank]
+            right = np.flatnonzero(at + 1 < sizes)
+            ranks[each, at] = NONE
+            ranks[right, at[right]] = self.ranks(both[right], symbols[right, at[right] + 1])
+            left = np.flatnonzero(at)
+            ranks[left, at[left] - 1] = self.ranks(symbols[left, at[left] - 1], both[left])
+
     def symbols(self, piece: str) -> list[int]:
         data = piece.encode()
         return [*map(self.first_ids.__getitem__, data[:-1]), self.last_ids[data[-1]]]
@@ -152,21 +248,21 @@ class Bpe:
         symbols = self.symbols(piece)
         return array("I", [s for s in symbols if s >= 0] if self.merge(symbols) else symbols).tobytes()
 
-    def chunk_ids(self, chunk: str) -> bytes:
-        found = self.pieces(chunk)
-        return self.piece_ids(chunk) if len(found) == 1 and found[0] == chunk else b"".join(map(self.known_pieces.__getitem__, found))
-
     def piece_count(self, piece: str) -> int:
         """Number of the piece's tokens."""
         symbols = self.symbols(piece)
         return len(symbols) - self.merge(symbols)
 
     def pieces(self, chunk: str) -> list[str]:
-        if not self.by_words:
-            return _BYTE.findall(chunk)
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).translate(_NEW_LOWER)
-        return _WORD.findall(chunk.lower())
+        return _WORD.findall(self.normal(chunk)) if self.by_words else _BYTE.findall(chunk)
+
+    def normal(self, text: str) -> str:
+        """What is split into pieces: no character of it depends on those beyond a blank."""
+        if self.by_words and not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if _HAS_NEW_LOWER.search(text):
+                text = text.translate(_NEW_LOWER)
+        return text.lower() if self.by_words else text
 
     def split(self, text: str) -> list[str]:
         """Chunks, none of which shares a piece with another."""
@@ -192,12 +288,36 @@ class Bpe:
         if at < len(text):
             yield text[at:], None
 
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks."""
+        new = self.known_chunks.lacking(chunks)
+        mark, end = " " if self.by_words else "", b"\xff" * 4  # no bytes of ids, as their highest is 0
+        for i in range(0, len(new), ROWS):
+            part = new[i : i + ROWS]
+            words = self.normal(" ".join(part)).split(" ") if self.by_words else part
+            odd = [w for w in words if not w.isalpha()]  # else a word is one piece: what Python takes for letters, the expressions do
+            pieces = _WORDS.findall(" ".join(odd)) if self.by_words else [p for w in odd for p in (*_BYTE.findall(w), mark)][:-1]
+            lacking = self.known_pieces.lacking({*(w for w in words if w.isalpha()), *pieces} - {mark})
+            self.known_pieces.add(lacking, self.pieces_ids(lacking))
+            ids = self.known_pieces.now
+            ids[mark] = end
+            of_odd = iter(b"".join(map(ids.__getitem__, pieces)).split(end))
+            found = [ids[w] if w.isalpha() else next(of_odd) for w in words]
+            del ids[mark]
+            self.known_chunks.add(part, found)
+        return self.known_chunks.now
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        parts = [[self.split(part) if special is None else special.to_bytes(4, "little") for part, special in self.plain(t)] for t in texts]
+        ids = self.learn(set().union(*(x for text in parts for x in text if isinstance(x, list)))).__getitem__
+        out = [b"".join([b"".join(map(ids, x)) if isinstance(x, list) else x for x in text]) for text in parts]
+        self.known_chunks.shed()
+        self.known_pieces.shed()
+        return out
+
     def encode_packed(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for part, special in self.plain(text):
-            out += [special.to_bytes(4, "little")] if special is not None else map(self.known_chunks.__getitem__, self.split(part))
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
@@ -240,9 +360,9 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str =
         claim("bpe")
         codec = loaded(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                data = [codec.encode_packed(t) for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                data = codec.encode_all(part.column(1).to_pylist())
                 ids = [np.frombuffer(x, "<u4").tolist() for x in data]
                 stored = pa.array(data, pa.binary()) if packed else pa.array(ids, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), stored, pa.array([codec.decode(x) for x in ids], pa.string())], ["id", "n_tokens", "ids", "decoded"])
